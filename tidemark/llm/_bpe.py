@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import base64
-import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -33,34 +31,8 @@ def token_bytes(path: str = DEFAULT_VOCABULARY) -> tuple[list[bytes], np.ndarray
     return table, np.fromiter(map(len, table), np.int64, len(table))
 
 
-#: Words whose ids a worker remembers, about 200 bytes each: as many recent ones, and those used since.
-REMEMBERED = 150_000
-_recent: dict[str, dict[str, bytes]] = {}
-_older: dict[str, dict[str, bytes]] = {}
-_LOOSE = re.compile(r" \s|\s ")
-
-
 def encode(text: str, path: str = DEFAULT_VOCABULARY) -> np.ndarray:
-    """Ids of a text. A blank between two other characters always begins a new piece, so stretches between such blanks are looked up."""
-    coder = encoding(path)
-    recent = _recent.setdefault(path, {})
-    older = _older.setdefault(path, {})
-    if len(recent) > REMEMBERED:
-        _older[path], _recent[path] = older, recent = recent, {}
-    if _LOOSE.search(text):
-        return np.asarray(coder.encode_ordinary(text), np.int32)
-    out = []
-    for k, word in enumerate(text.split(" ")):
-        unit = " " + word if k else word
-        ids = recent.get(unit)
-        if ids is None:
-            ids = older.get(unit)
-            if ids is None:
-                ids = array("i", coder.encode_ordinary(unit)).tobytes()
-            if len(unit) <= 64:
-                recent[unit] = ids
-        out.append(ids)
-    return np.frombuffer(b"".join(out), np.int32)
+    return np.asarray(encoding(path).encode_ordinary(text), np.int32)
 
 
 def decode(ids: np.ndarray, path: str = DEFAULT_VOCABULARY) -> str:

@@ -7,15 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.checkpoint import materialise
 from tidemark.llm._bpe import DEFAULT_VOCABULARY, decode, encode, token_bytes
-from tidemark.llm._text import U64, _BASE, _INVERSE, batches, mix, powers
+from tidemark.llm._text import U64, batches, mix
 
 #: Bytes that the rolling hash looks back on; one place in 2**CUT_BITS is a cut; no chunk is longer than MOST.
-WINDOW, CUT_BITS, MOST = 24, 9, 1 << 14
+WINDOW, CUT_BITS, MOST = 32, 9, 1 << 14
+_GEAR = (mix(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
 #: Hashes of shared chunks that may be sent to every worker: 8 bytes each, so 32 MB at most.
 BROADCAST_HASHES = 4_000_000
 
@@ -38,14 +40,13 @@ def cut_chunks(texts: list[str | None]) -> Chunks:
     base = np.zeros(len(raw) + 1, np.int64)
     np.cumsum(np.fromiter(map(len, raw), np.int64, len(raw)), out=base[1:])
     n = len(data)
-    sums = np.zeros(n + 1, U64)
-    if n:
-        np.cumsum((data.astype(U64) + U64(1)) * powers(_BASE, n), out=sums[1:])
-    unroll = powers(_INVERSE, n + 1)
     at = np.zeros(0, np.int64)
     if n > WINDOW:
-        rolled = (sums[WINDOW:-1] - sums[: n - WINDOW]) * unroll[: n - WINDOW]
-        at = np.flatnonzero((rolled >> U64(64 - CUT_BITS) == 0) & (data[WINDOW:] & 0xC0 != 0x80)) + WINDOW
+        rolled, back = _GEAR[data], 1  # the sum of gear[byte k places back] << k, by doubling the stretch that it covers
+        while back < WINDOW:
+            rolled[back:] += rolled[:-back] << np.uint32(back)
+            back *= 2
+        at = np.flatnonzero((rolled[WINDOW - 1 : -1] >> np.uint32(32 - CUT_BITS) == 0) & (data[WINDOW:] & 0xC0 != 0x80)) + WINDOW
         owner = np.searchsorted(base, at, side="right") - 1
         at = at[at - base[owner] >= WINDOW]  # the window lies within one document
     full = np.unique(base)
@@ -62,11 +63,11 @@ def cut_chunks(texts: list[str | None]) -> Chunks:
             more.append(e)
         ends = np.array(more, np.int64)
         start = np.concatenate(([0], ends[:-1]))
-    size = (ends - start).astype(U64)
-    hashed = mix((sums[ends] - sums[start]) * unroll[start] + size * U64(0xD6E8FEB86659FD93)) if len(ends) else np.zeros(0, U64)
     first = np.searchsorted(start, base)
     owner = np.repeat(np.arange(len(raw)), np.diff(first))
-    return Chunks(raw, start - base[owner], ends - base[owner], hashed, first)
+    begin, end = start - base[owner], ends - base[owner]
+    hashed = np.fromiter((xxhash.xxh3_64_intdigest(raw[d][p:q]) for d, p, q in zip(owner.tolist(), begin.tolist(), end.tolist())), U64, len(owner))
+    return Chunks(raw, begin, end, hashed, first)
 
 
 def safe_points(data: np.ndarray) -> np.ndarray:

@@ -7,7 +7,10 @@ import importlib
 #: query name -> module; each module has a function of the query's name, and ``SQL`` where there is an oracle.
 MODULES = {
     "op1_line_frequency": "line_frequency",
+    "op3_feistel_pseudonyms": "pseudonyms",
     "op4_simhash": "simhash",
+    "op8_chunked_bpe": "chunked_bpe",
+    "op10_entropy_balancing": "balancing",
 }
 
 

@@ -17,7 +17,7 @@ def _level(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(_NULL))
 
 
-def _dual(cells: DataFrame, levels: DataFrame, target: np.ndarray, ridge: float, tol: float, most: int) -> np.ndarray:
+def _dual(cells: DataFrame, levels: DataFrame, first: list[int], target: np.ndarray, ridge: float, tol: float, most: int) -> np.ndarray:
     """Newton's method on log sum(q exp(lambda . x)) - target . lambda + ridge/2 |lambda|^2; the sums are Spark aggregates."""
     spark, k = cells.sparkSession, len(target)
 
@@ -29,9 +29,7 @@ def _dual(cells: DataFrame, levels: DataFrame, target: np.ndarray, ridge: float,
         cross = np.zeros((k, k))
         for i, j, v in both.toLocalIterator():
             cross[i, j] = v
-        first = levels.agg(F.min("axis")).first()[0]
-        mass = levels.where(F.col("axis") == first).select("level").distinct()
-        z = sum(cross[r[0], r[0]] for r in mass.toLocalIterator())
+        z = sum(cross[k, k] for k in first)  # each cell has one level of the first axis
         p = np.diag(cross) / z
         return np.log(z) - target @ lam + ridge / 2 * lam @ lam, p, cross / z
 
@@ -88,7 +86,7 @@ def mixing_rates(
     target[mine] = wish / wish.sum()
     numbers = spark.createDataFrame([(k, axis, value) for k, (axis, value, _) in enumerate(values)], "level int, axis int, value string")
     levels = materialise(marks.select("cell", "axis", "value").join(numbers, ["axis", "value"]).select("cell", "axis", "level"), "mixing-levels")
-    lam = _dual(shared.select("cell", "share"), levels, target, ridge, tol, iterations)
+    lam = _dual(shared.select("cell", "share"), levels, mine, target, ridge, tol, iterations)
     tilts = spark.createDataFrame([(k, float(v)) for k, v in enumerate(lam)], "level int, lam double")
     tilt = levels.join(tilts, "level").groupBy("cell").agg(F.exp(F.sum("lam")).alias("tilt"))
     tilted = cells.join(tilt, "cell")

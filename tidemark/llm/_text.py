@@ -91,3 +91,25 @@ def batches(frames: Iterator, column: str, most_bytes: int = 4 << 20) -> Iterato
             total += int(n)
         if begin < len(frame):
             yield frame.iloc[begin:]
+
+
+def whole_groups(frames: Iterator, keys: list[str]) -> Iterator:
+    """Frames of rows sorted by ``keys``, cut again so that no group of equal keys is split: each frame holds whole groups."""
+    import pandas as pd
+
+    held: list = []
+    for frame in frames:
+        if not len(frame):
+            continue
+        k = [frame[c].to_numpy() for c in keys]
+        change = np.flatnonzero(np.logical_or.reduce([x[1:] != x[:-1] for x in k])) + 1
+        if held and any(held[-1][c].iat[-1] != frame[c].iat[0] for c in keys):
+            yield pd.concat(held, ignore_index=True)
+            held = []
+        if len(change):
+            yield pd.concat([*held, frame.iloc[: change[-1]]], ignore_index=True)
+            held = []
+            frame = frame.iloc[change[-1] :]
+        held.append(frame)
+    if held:
+        yield pd.concat(held, ignore_index=True)

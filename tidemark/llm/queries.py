@@ -7,8 +7,12 @@ import importlib
 #: query name -> module; each module has a function of the query's name, and ``SQL`` where there is an oracle.
 MODULES = {
     "op1_line_frequency": "line_frequency",
+    "op2_collinear_chains": "chaining",
     "op3_feistel_pseudonyms": "pseudonyms",
     "op4_simhash": "simhash",
+    "op5_quartile_digest": "digest",
+    "op6_bit_planes": "bitplanes",
+    "op7_language_id": "language_id",
     "op8_chunked_bpe": "chunked_bpe",
     "op10_entropy_balancing": "balancing",
 }

@@ -14,6 +14,7 @@ MODULES = {
     "op6_bit_planes": "bitplanes",
     "op7_language_id": "language_id",
     "op8_chunked_bpe": "chunked_bpe",
+    "op9_site_style_tree": "style_tree",
     "op10_entropy_balancing": "balancing",
 }
 

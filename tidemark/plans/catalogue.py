@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tidemark.plans import files, finding  # noqa: F401  (they register their queries)
+from tidemark.plans.views import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

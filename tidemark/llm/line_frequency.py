@@ -124,10 +124,10 @@ marked AS (
 summed AS (
   SELECT doc_id, source, count(*) AS n_lines, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed,
          coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY k), '') AS text,
-         sum(length(line)) AS was, sum(CASE WHEN gone THEN 0 ELSE length(line) END) AS now,
-         max(CASE WHEN NOT gone AND trim(line) <> '' THEN 1 ELSE 0 END) AS some
+         sum(length(line)) AS chars_was, sum(CASE WHEN gone THEN 0 ELSE length(line) END) AS chars_left,
+         max(CASE WHEN NOT gone AND trim(line) <> '' THEN 1 ELSE 0 END) AS has_text
   FROM marked GROUP BY doc_id, source)
 SELECT doc_id, source, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_removed AS INTEGER) AS n_removed, text,
-       some = 1 AND now >= was * 0.5 AS kept
+       has_text = 1 AND chars_left >= chars_was * 0.5 AS kept
 FROM summed
 """

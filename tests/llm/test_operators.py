@@ -105,7 +105,7 @@ def test_pseudonyms(spark, docs, texts):
     assert any(r.n_replaced for r in out.values())
     line = "mail a.b@ex-mple.org card 4111 1111 1111 1111 ssn 123-45-6789 date 2024-02-29 or 29.02.2024 ip 8.8.8.8 phone (415) 555-2671 iban DE89 3704 0044 0532 0130 00 pi 3.14159 no 4111 1111 1111 1112 bad 2024-02-30"
     new, n = brute.replace(line)
-    assert n == 9 and new.endswith("no 4111 1111 1111 1112 bad 2024-02-30") and "pi 3.14159" in new
+    assert n == 8 and new.endswith("no 4111 1111 1111 1112 bad 2024-02-30") and "pi 3.14159" in new
     assert pseudonyms.luhn(re.sub(r"\D", "", re.search(r"card ([\d ]+) ssn", new)[1])) and pseudonyms.iban_rest(re.search(r"iban ([A-Z0-9 ]+) pi", new)[1].replace(" ", "")) == 1
     iso, dotted = re.search(r"date (\S+) or (\S+)", new).groups()
     assert dt.date.fromisoformat(iso) == dt.datetime.strptime(dotted, "%d.%m.%Y").date()  # equal dates stay linked
@@ -313,3 +313,11 @@ def test_query_balancing_meets_its_targets(spark, docs):
     for r in out:
         sums[r.source] += r.rate * r.tokens
     assert max(sums.values()) == pytest.approx(min(sums.values()), rel=1e-4)
+
+
+def test_dates_stay_in_their_range():
+    worker, back = pseudonyms.Pseudonymiser(b"k"), pseudonyms.Pseudonymiser(b"k", back=True)
+    days = [dt.date(1900, 1, 1) + dt.timedelta(k) for k in range(0, 73049, 271)]
+    images = [worker.replace(d.isoformat())[0] for d in days]
+    assert len(set(images)) == len(days) and all("1900" <= i[:4] <= "2099" for i in images)
+    assert [back.replace(i)[0] for i in images] == [d.isoformat() for d in days]

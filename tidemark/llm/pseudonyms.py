@@ -160,7 +160,7 @@ class Pseudonymiser:
         def allowed(v: int) -> bool:
             return not late or dt.date.fromordinal(v + _FIRST_DAY).day > 12
 
-        image = dt.date.fromordinal(Feistel(self.key, "date", _LAST_DAY - _FIRST_DAY + 1).walk(day - _FIRST_DAY, allowed, self.back))
+        image = dt.date.fromordinal(_FIRST_DAY + Feistel(self.key, "date", _LAST_DAY - _FIRST_DAY + 1).walk(day - _FIRST_DAY, allowed, self.back))
         fields = {"y": f"{image.year:04d}", "m": f"{image.month:02d}", "d": f"{image.day:02d}"}
         return mark.join(fields[c] for c in order)
 

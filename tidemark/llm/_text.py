@@ -82,7 +82,7 @@ def split_words(texts: Iterable[str | None]) -> Words:
 def batches(frames: Iterator, column: str, most_bytes: int = 4 << 20) -> Iterator:
     """The frames cut so that each holds about ``most_bytes`` characters of ``column``, or one row."""
     for frame in frames:
-        sizes = frame[column].str.len().fillna(0).to_numpy(np.int64)
+        sizes = np.fromiter((len(t) if isinstance(t, str) else 0 for t in frame[column]), np.int64, len(frame))
         total, begin = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > most_bytes:

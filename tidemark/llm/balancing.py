@@ -11,43 +11,58 @@ from tidemark.checkpoint import materialise
 #: Rows of the rate table that may be broadcast: about 40 bytes each, so 20 MB at most.
 BROADCAST_ROWS = 500_000
 _NULL = "\u0000null"
+#: The most that a multiplier changes in a step, and beyond which none grows: where constraints contradict each other they would grow for ever.
+STEP, MOST_TILT = 5.0, 40.0
 
 
 def _level(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(_NULL))
 
 
-def _dual(cells: DataFrame, levels: DataFrame, first: list[int], target: np.ndarray, ridge: float, tol: float, most: int) -> np.ndarray:
-    """Newton's method on log sum(q exp(lambda . x)) - target . lambda + ridge/2 |lambda|^2; the sums are Spark aggregates."""
-    spark, k = cells.sparkSession, len(target)
+def _tilt(lam: np.ndarray) -> Column:
+    """The sum of the multipliers of a cell's levels (numbers in ``on``); one literal for each level."""
+    table = F.array(*[F.lit(float(v)) for v in lam])
+    return F.aggregate("on", F.lit(0.0), lambda t, i: t + F.get(table, i))
 
-    def sums(lam: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        mine = spark.createDataFrame([(i, float(v)) for i, v in enumerate(lam)], "level int, lam double")
-        tilt = levels.join(mine, "level").groupBy("cell").agg(F.sum("lam").alias("tilt"), F.collect_list("level").alias("on"))
-        w = cells.join(tilt, "cell").select("on", (F.col("share") * F.exp("tilt")).alias("w"))
-        both = w.select(F.explode("on").alias("i"), "on", "w").select("i", F.explode("on").alias("j"), "w").groupBy("i", "j").agg(F.sum("w").alias("w"))
-        cross = np.zeros((k, k))
-        for i, j, v in both.toLocalIterator():
-            cross[i, j] = v
+
+def _dual(cells: DataFrame, first: list[int], target: np.ndarray, ridge: float, tol: float, most: int) -> np.ndarray:
+    """Newton's method on log sum(share exp(lambda . x)) - target . lambda + ridge/2 |lambda|^2.
+
+    ``cells`` has share and on. The sums are Spark aggregates over cells, one job for
+    each try, scaled by the largest term of the try before. No multiplier changes by
+    more than STEP at once, nor grows beyond MOST_TILT.
+    """
+    k = len(target)
+
+    def sums(lam: np.ndarray, shift: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+        w = cells.select("on", (F.ln("share") + _tilt(lam)).alias("lw"))
+        both = w.select(F.explode("on").alias("i"), "on", "lw").select("i", F.explode("on").alias("j"), "lw")
+        both = both.groupBy("i", "j").agg(F.sum(F.exp(F.col("lw") - F.lit(shift))).alias("w"), F.max("lw").alias("top"))
+        cross, top = np.zeros((k, k)), -np.inf
+        for i, j, v, t in both.toLocalIterator():
+            cross[i, j], top = v, max(top, t)
         z = sum(cross[k, k] for k in first)  # each cell has one level of the first axis
         p = np.diag(cross) / z
-        return np.log(z) - target @ lam + ridge / 2 * lam @ lam, p, cross / z
+        return np.log(z) + shift - target @ lam + ridge / 2 * lam @ lam, p, cross / z, top
 
     lam = np.zeros(k)
-    value, p, cross = sums(lam)
+    value, p, cross, top = sums(lam, 0.0)
     for _ in range(most):
         gradient = p - target + ridge * lam
-        if np.abs(gradient).max() < tol:
+        if np.abs(gradient).max() < tol or np.abs(lam).max() > MOST_TILT:
             break
         step = np.linalg.lstsq(cross - np.outer(p, p) + ridge * np.eye(k), -gradient, rcond=None)[0]
+        step *= min(1.0, STEP / max(np.abs(step).max(), 1e-300))
         size = 1.0
-        while True:
-            tried = sums(lam + size * step)
-            if tried[0] <= value + 1e-4 * size * (gradient @ step) + 1e-13 or size < 1e-6:
+        while size > 1e-6:
+            tried = sums(lam + size * step, top)
+            if tried[0] <= value + 1e-4 * size * (gradient @ step) + 1e-13:
                 break
             size /= 2
+        else:
+            break
         lam = lam + size * step
-        value, p, cross = tried
+        value, p, cross, top = tried
     return lam
 
 
@@ -85,11 +100,10 @@ def mixing_rates(
     wish = np.array([1.0 if targets is None else float(targets[values[k][1]]) for k in mine])
     target[mine] = wish / wish.sum()
     numbers = spark.createDataFrame([(k, axis, value) for k, (axis, value, _) in enumerate(values)], "level int, axis int, value string")
-    levels = materialise(marks.select("cell", "axis", "value").join(numbers, ["axis", "value"]).select("cell", "axis", "level"), "mixing-levels")
-    lam = _dual(shared.select("cell", "share"), levels, mine, target, ridge, tol, iterations)
-    tilts = spark.createDataFrame([(k, float(v)) for k, v in enumerate(lam)], "level int, lam double")
-    tilt = levels.join(tilts, "level").groupBy("cell").agg(F.exp(F.sum("lam")).alias("tilt"))
-    tilted = cells.join(tilt, "cell")
+    levels = marks.select("cell", "axis", "value").join(numbers, ["axis", "value"]).groupBy("cell").agg(F.collect_list("level").alias("on"))
+    coded = materialise(cells.join(levels, "cell").select(*names, "tokens", (F.col("tokens") / F.lit(total)).alias("share"), "on"), "mixing-levels")
+    lam = _dual(coded.select("share", "on"), mine, target, ridge, tol, iterations)
+    tilted = coded.withColumn("tilt", F.exp(_tilt(lam)))
     z = tilted.agg(F.sum(F.col("tokens") * F.col("tilt"))).first()[0]
     scale = (total if budget is None else budget) / z
     # ten digits, so that the order in which sums were added doesn't show
@@ -116,7 +130,7 @@ def balanced_copies(
     the convex dual, scaled to ``budget`` tokens (those of the corpus where not given).
     Copies are floor(rate + u), with u in [0, 1) a hash of doc_id, so their mean is the rate.
     ``tokens`` is a column; without it a token is four bytes of UTF-8. Where the
-    constraints contradict each other, the ridge term settles on a compromise.
+    constraints contradict each other, multipliers stop at e**40 and what is met is a compromise.
     The dual has one unknown for each source and balance value, solved on the driver:
     meant for thousands of sources, not millions.
 

@@ -31,11 +31,12 @@ def nearest_batch(records: DataFrame, requests: DataFrame, request_id: str = "re
 
     One equi-join by URL and a map-side combined minimum, so a URL with many captures isn't sorted.
     """
-    live = records.where((F.col("type") != "request") & is_active(F.col("flags")))
-    both = requests.select(request_id, F.col("uri").alias("wanted"), "at").join(live, F.col("wanted") == F.col("uri"))
-    apart = F.abs(_seconds(F.col("date")) - _seconds(F.col("at")))
-    best = both.groupBy(request_id).agg(F.min_by(F.struct(*[records[c] for c in records.columns]), F.struct(apart, records["id"])).alias("hit"))
-    return best.select(request_id, "hit.*")
+    live = records.where((F.col("type") != "request") & is_active(F.col("flags"))).select(F.col("uri").alias("_uri"), F.struct(*records.columns).alias("hit"))
+    asked = requests.select(F.col(request_id).alias("_request"), F.col("uri").alias("_wanted"), F.col("at").alias("_at"))
+    both = asked.join(live, F.col("_wanted") == F.col("_uri"))
+    apart = F.abs(_seconds(F.col("hit.date")) - _seconds(F.col("_at")))
+    best = both.groupBy("_request").agg(F.min_by("hit", F.struct(apart, F.col("hit.id"))).alias("hit"))
+    return best.select(F.col("_request").alias(request_id), "hit.*")
 
 
 def first_capture_rank(records: DataFrame) -> DataFrame:

@@ -61,13 +61,13 @@ _search("search_all_limit", limit=100)
 _search("search_strict", host=Match("example.org"), path=Match("/en"), mode="strict")
 
 
-@query(f"WITH {KEYED} SELECT type, identifier, uri, {shown()}, collection FROM keyed WHERE massaged_url LIKE 'net,example%' ")
+@query(f"WITH {KEYED} SELECT type, identifier, uri, {shown()}, collection FROM keyed WHERE regexp_matches(massaged_url, '{key_pattern(Match("example.net"))}')")
 def search_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(as_tsv(search(keyed(spark, sf_dir), Match("example.net"), limit=None)))
 
 
 @query(f"""WITH {KEYED} SELECT id, CAST(json_object('uri', uri, 'identifier', identifier, 'type', type, 'collection', collection, 'date', strftime(date, '%Y-%m-%d %H:%M:%S')) AS VARCHAR) AS json
-FROM keyed WHERE massaged_url LIKE 'org,example%'""")
+FROM keyed WHERE regexp_matches(massaged_url, '{key_pattern(Match("example.org"))}')""")
 def search_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_json(search(keyed(spark, sf_dir), Match("example.org"), limit=None))
 

@@ -272,3 +272,58 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_warc(_warc(rows).select(F.lit("").alias("path"), F.lit(0).cast("bigint").alias("offset"), "raw_size", "headers", F.col("body").cast("binary").alias("body")), path)
     append_batches(stream_records(spark, path), f"{path}-table", f"{path}-state", once=True).awaitTermination()
     return spark.read.parquet(f"{path}-table").select("identifier", F.md5("body").alias("digest"))
+
+
+@query(f"WITH {CAPTURES} SELECT identifier AS id, uri AS url, md5(body) AS digest FROM captures WHERE collection = 'web-1'")
+def push_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One collection's records pushed as compressed files, then read by name and offset out of its index."""
+    from tidemark.operators.push import push
+    from tidemark.sources.repository import fetch_records
+
+    rows = captures(spark, sf_dir).where("collection = 'web-1'")
+    dictionary = train_dictionary(sample_records(rows, n=200), size=50_000)[1]
+    path = _uuid(rows, "collection")
+    index = push(_warc(rows).select("id", "headers", F.col("body").cast("binary").alias("body")), path, dictionary, 5, threshold=50_000)
+    known = index.select("id", "url", F.col("file").alias("filename"), F.col("offset").cast("bigint").alias("offset"), "raw_size", F.lit(5).cast("bigint").alias("dict_id"))
+    return fetch_records(known, path, dictionaries={5: dictionary}).select("id", "url", F.md5("body").alias("digest"))
+
+
+@query(f"WITH {CAPTURES} SELECT id, identifier, type, uri, strftime(date, '%Y%m%d%H%M%S') AS date FROM captures")
+def record_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first values of each record's headers."""
+    from tidemark.functions.scalars import bare_id, cdx_date, first_header, parse_rfc3339
+
+    h = F.col("headers")
+    return _warc(captures(spark, sf_dir)).select(
+        "id", bare_id(first_header(h, "WARC-Record-ID")).alias("identifier"), first_header(h, "WARC-Type").alias("type"),
+        first_header(h, "WARC-Target-URI").alias("uri"), cdx_date(parse_rfc3339(first_header(h, "WARC-Date"))).alias("date"),
+    )
+
+
+@query(f"""WITH {CAPTURES}, slugs AS (SELECT * FROM (VALUES {_SLUGS}) t(slug, uuid, compression, dict_id))
+SELECT id, uuid, dict_id FROM captures JOIN slugs ON slug = collection""")
+def collection_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    slugs = values(spark, _SLUGS, "slug, uuid, compression, dict_id")
+    rows = captures(spark, sf_dir)
+    return rows.join(slugs, rows.collection == slugs.slug).select("id", "uuid", "dict_id")
+
+
+@query(f"WITH slugs AS (SELECT * FROM (VALUES {_SLUGS}) t(slug, uuid, compression, dict_id)) SELECT slug FROM slugs WHERE dict_id IS NULL OR dict_id IN (5)")
+def dictionary_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collections whose dictionary is there, or that need none."""
+    slugs, known = values(spark, _SLUGS, "slug, uuid, compression, dict_id"), values(spark, "(5),(6)", "number")
+    return slugs.where("dict_id IS NULL").union(slugs.join(known, slugs.dict_id == known.number, "left_semi")).select("slug")
+
+
+@query(f"""WITH slugs AS (SELECT * FROM (VALUES {_SLUGS}) t(slug, uuid, compression, dict_id))
+SELECT slug, CAST(json_object('uuid', uuid, 'slug', slug) AS VARCHAR) AS json FROM slugs""")
+def collection_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return values(spark, _SLUGS, "slug, uuid, compression, dict_id").select("slug", F.to_json(F.struct("uuid", "slug")).alias("json"))
+
+
+@query("SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 443 ELSE 80 END AS port FROM pages")
+def default_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.functions.urlkey import default_port
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", default_port(F.regexp_extract("url", "^([a-z]+):", 1)).alias("port"))

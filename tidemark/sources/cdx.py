@@ -47,9 +47,13 @@ def from_records(records: DataFrame, headers: str = "headers") -> DataFrame:
 def read_cdx(spark: SparkSession, path: str, on_error: str = "stop") -> DataFrame:
     """Lines of CDX files: path, line_no and the seven fields. ``on_error``: stop (a file ends before its first bad line), skip, or fail.
 
-    Line numbers are a file's own, so each file is read by one task; a row is a line.
+    ``line_no`` orders the lines of a file: the start of the block that holds it, and its
+    place among the lines of the task that reads it. Files are read in blocks by any
+    number of tasks; no line is moved.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line")).where("line <> ''")
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), place.alias("line_no"), F.rtrim(F.col("value"), F.lit("\r")).alias("line"))
+    whole = lines.where("line <> ''")
     parsed = parse_lines(whole)
     if on_error == "fail":
         parsed = parsed.withColumn("bad", F.when(F.col("bad"), F.raise_error(F.concat(F.lit("bad CDX line: "), "line"))).otherwise(False)).where("NOT bad")

@@ -7,11 +7,12 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checkpoint import materialise
-from tidemark.operators.dictionary import compressed
 from tidemark.operators.layout import assign_files, warc_filename
 from tidemark.operators.render import serialise
 from tidemark.schema import SPLIT_THRESHOLD
@@ -56,6 +57,18 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     return ordered.select("filename", "raw").mapInPandas(write, "filename string, size bigint")
 
 
+def _packed(rows: DataFrame, dictionary: bytes, level: int) -> DataFrame:
+    """``raw`` compressed; the other columns pass as they are."""
+
+    def pack(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        for frame in frames:
+            small = pa.array([tool.compress(v) for v in frame.column("raw").to_pylist()], pa.binary())
+            yield frame.set_column(frame.schema.get_field_index("raw"), "raw", small)
+
+    return rows.mapInArrow(pack, rows.schema)
+
+
 def push(
     records: DataFrame, folder: str, dictionary: bytes | None = None, dict_id: int | None = None, threshold: int = SPLIT_THRESHOLD, level: int = 3, order: str = "id"
 ) -> DataFrame:
@@ -65,8 +78,8 @@ def push(
     are added below ``index.cdx`` once all files are whole, so a push that fails leaves no index entries.
     """
     plain = folder.removeprefix("file://")
-    raw = compressed(serialise(F.col("headers"), F.col("body")), dictionary, level)
-    stored = materialise(records.select(F.col(order).alias("id"), "headers", raw.alias("raw")).withColumn("raw_size", F.octet_length("raw").cast("bigint")), "pushed")
+    whole = records.select(F.col(order).alias("id"), "headers", serialise(F.col("headers"), F.col("body")).alias("raw"))
+    stored = materialise((whole if dictionary is None else _packed(whole, dictionary, level)).withColumn("raw_size", F.octet_length("raw").cast("bigint")), "pushed")
     placed = assign_files(stored.withColumn("collection", F.lit("")), threshold)
     number, kind = F.lit(dict_id).cast("bigint"), F.lit("zstd" if dictionary is not None else None).cast("string")
     name = warc_filename(F.col("file_no") + next_file(plain), number, kind)

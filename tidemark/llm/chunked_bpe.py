@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -191,15 +192,24 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
             frame["body"] = [_narrow(encode(bytes(b).decode("utf-8"), vocabulary)) for b in frame.body]
             yield frame
 
-    def together(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def together(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of equal texts follow each other; only the first of them is put together."""
+        last, ids = None, np.zeros(0, np.int32)
         for frame in frames:
-            frame["ids"] = [_narrow(join_parts([_wide(bytes(p["body"])) for p in parts], vocabulary)) for parts in frame.parts]
-            yield frame[["k1", "k2", "ids"]]
-
-    def unpacked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids = [_wide(bytes(b)) for b in frame.ids]
-            yield pd.DataFrame({"doc_id": frame.id.array, "n_tokens": list(map(len, ids)), "ids": ids}, columns=["doc_id", "n_tokens", "ids"])
+            parts, keys = frame.column("parts"), list(zip(frame.column("k1").to_pylist(), frame.column("k2").to_pylist()))
+            body, rows = parts.values.field("body"), parts.offsets.to_numpy()
+            ends, data = np.frombuffer(body.buffers()[1], np.int32)[body.offset :].tolist(), memoryview(body.buffers()[2] or b"")
+            out, begin, held = [], 0, 0
+            for r, key in enumerate(keys):
+                if key != last:
+                    last, ids = key, join_parts([_wide(data[ends[j] : ends[j + 1]]) for j in range(rows[r], rows[r + 1])], vocabulary)
+                out.append(ids)
+                held += len(ids)
+                if held > 1 << 20 or r + 1 == len(keys):
+                    sizes = np.fromiter(map(len, out), np.int32, len(out))
+                    lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.concatenate(out).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([frame.column("id").slice(begin, len(out)), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
+                    out, begin, held = [], r + 1, 0
 
     shape = f"doc_id {kind}, n_tokens int, ids array<int>"
     keyed = work.where(F.length("text") > 0).select("id", F.xxhash64("text").alias("k1"), F.hash("text", F.length("text")).alias("k2"), "text")
@@ -214,8 +224,7 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
     placed = many.select("k1", "k2", "at", "hash").join(book, "hash").select("k1", "k2", "at", "body")
     rest = single.select("k1", "k2", "at", "body").mapInPandas(encoded, "k1 bigint, k2 int, at bigint, body binary")
     lists = placed.union(rest).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("parts"))
-    whole = lists.mapInPandas(together, "k1 bigint, k2 int, ids binary")
-    named = keyed.select("id", "k1", "k2").join(whole, ["k1", "k2"]).select("id", "ids").mapInPandas(unpacked, shape)
+    named = lists.join(keyed.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "k1", "k2", "parts").mapInArrow(together, shape)
     return work.mapInPandas(alone, shape).union(named)
 
 

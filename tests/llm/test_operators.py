@@ -321,3 +321,32 @@ def test_dates_stay_in_their_range():
     images = [worker.replace(d.isoformat())[0] for d in days]
     assert len(set(images)) == len(days) and all("1900" <= i[:4] <= "2099" for i in images)
     assert [back.replace(i)[0] for i in images] == [d.isoformat() for d in days]
+
+
+@pytest.mark.parametrize(
+    "line,values",
+    [
+        ("4111 1111 1111 1111 123", ["4111 1111 1111 1111"]),
+        ("4111 1111 1111 1111 12/27", ["4111 1111 1111 1111"]),
+        ("12 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("12-4111-1111-1111-1111", ["4111-1111-1111-1111"]),
+        ("1234567 4111 1111 1111 1111 99", ["4111 1111 1111 1111"]),
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 12345", ["DE89370400440532013000"]),
+        ("AB12 DE89 3704 0044 0532 0130 00 AND 4111 1111 1111 1111", ["DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111"]),
+        ("XX11 REF NUMBER 4111 1111 1111 1111 123", ["4111 1111 1111 1111"]),
+        ("AB12 CDEF GHIJ 123-45-6789", ["123-45-6789"]),
+    ],
+)
+def test_values_beside_digits_and_capitals(line, values):
+    for k in range(30):
+        worker, back = pseudonyms.Pseudonymiser(b"k%d" % k), pseudonyms.Pseudonymiser(b"k%d" % k, back=True)
+        new, n = worker.replace(line)
+        assert n == len(values) and all(v not in new for v in values)
+        assert back.replace(new) == (line, n)
+        at = 0
+        for v in values:  # only the values change
+            a = line.index(v, at)
+            assert new[at:a] == line[at:a]
+            at = a + len(v)
+        assert new[at:] == line[at:]

@@ -30,10 +30,18 @@ PATTERN = re.compile(
       |(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])
       |(?<![\w(+])\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<card>(?<![0-9A-Za-z-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))
+  | (?P<card>(?:(?<![0-9A-Za-z-])|(?<=[0-9]-))[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))
     """,
     re.X,
 )
+#: Each kind alone, in the order in which they are tried at a place.
+KINDS = {m[1]: re.compile(m[0], re.X) for m in re.finditer(r"\(\?P<(email|secret|iban|ip|date|phone|ssn|card)>.*?(?=\n  \||\n    $)", PATTERN.pattern, re.S)}
+#: What may stand between the groups of kinds that can take in what follows them.
+_BETWEEN = {"iban": " ", "card": " -", "phone": " .-"}
+#: Cards as they are commonly written.
+_CARD = re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])")
+#: How often a checked number is permuted on where its image and what stands beside it would read as another value.
+_TRIES = 1000
 
 
 class Feistel:
@@ -192,25 +200,69 @@ class Pseudonymiser:
         image = iter(body + next(c for c in _DIGIT if luhn(body + c)))
         return "".join(next(image) if c in _DIGIT else c for c in text)
 
+    def _image(self, kind: str, value: str) -> str | None:
+        if (kind, value) not in self.known:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            self.known[kind, value] = getattr(self, kind)(value)
+        return self.known[kind, value]
+
+    def _end(self, text: str, kind: str, start: int, end: int) -> int | None:
+        """The end of the longest value of this kind at ``start`` that validates; shorter ones end between groups."""
+        between = _BETWEEN.get(kind, "")
+        for e in [end, *(e for e in range(end - 1, start, -1) if text[e] in between)]:
+            if e < end and not KINDS[kind].fullmatch(text, start, e):
+                continue
+            if self._image(kind, text[start:e]) is None:
+                continue
+            # a number that is a card by chance doesn't cut off the end of one that is written like a card
+            if kind == "card" and any(m.end() > e and luhn(re.sub("[ -]", "", m[0])) for m in _CARD.finditer(text, start, e + 24) if start < m.start() < e):
+                continue
+            return e
+        return None
+
+    def values(self, text: str) -> tuple[list[tuple[str, int, int]], bool]:
+        """(kind, start, end) of the values to replace, and whether any candidate failed on the way."""
+        out, failed, pos = [], False, 0
+        while found := PATTERN.search(text, pos):
+            start, first = found.start(), next(k for k in KINDS if found[k] is not None)
+            pos = start + 1
+            for kind in list(KINDS)[list(KINDS).index(first) :]:
+                whole = found if kind == first else KINDS[kind].match(text, start)
+                end = self._end(text, kind, start, whole.end()) if whole else None
+                failed |= whole is not None and end != whole.end()
+                if end is not None:
+                    out.append((kind, start, end))
+                    pos = end
+                    break
+        return out, failed
+
     def replace(self, text: str) -> tuple[str, int]:
-        count = 0
-
-        def one(found: re.Match) -> str:
-            nonlocal count
-            kind, value = found.lastgroup, found.group()
-            if kind in ("s1", "s2"):
-                kind = "date"
-            if (kind, value) not in self.known:
-                if len(self.known) > 50_000:
-                    self.known.clear()
-                self.known[kind, value] = getattr(self, kind)(value)
-            image = self.known[kind, value]
-            if image is None:
-                return value
-            count += 1
-            return image
-
-        return PATTERN.sub(one, text), count
+        found, failed = self.values(text)
+        between = [text[a:b] for a, b in zip([0, *(e for _, _, e in found)], [*(s for _, s, _ in found), len(text)])]
+        images = [self._image(k, text[s:e]) for k, s, e in found]
+
+        def put(values: list[str]) -> str:
+            return "".join(x for pair in zip(between, [*values, ""]) for x in pair)
+
+        def same(values: list[str]) -> bool:
+            """The text with these values is read as just these values."""
+            made = put(values)
+            return [(k, made[s:e]) for k, s, e in self.values(made)[0]] == [(k, v) for (k, _, _), v in zip(found, values)]
+
+        if failed and not same(images):
+            # value after value, in the opposite order on the way back, so that both meet the same neighbours
+            now = [text[s:e] for _, s, e in found]
+            for i in range(len(now) - 1, -1, -1) if self.back else range(len(now)):
+                first = now[i] = images[i]
+                for _ in range(_TRIES if found[i][0] in ("card", "iban") else 0):
+                    if same(now):
+                        break
+                    now[i] = self._image(found[i][0], now[i])
+                else:
+                    now[i] = first
+            images = now
+        return put(images), len(found)
 
 
 def pseudonymise(
@@ -220,9 +272,12 @@ def pseudonymise(
 
     Kinds: e-mail addresses; card numbers (Luhn), IBANs (mod 97), social security numbers,
     IPv4 addresses (public ones stay public), phone numbers, calendar dates of 1900-2099,
-    access keys and named secrets. Numbers that don't validate stay. The permutation
-    depends on key, kind and shape only, so a value has the same pseudonym in every
-    document, two values never share one, and ``back=True`` with the key restores the texts.
+    access keys and named secrets. Where a candidate doesn't validate, shorter ones that end
+    between groups, the other kinds and later starts are tried; numbers of which nothing
+    validates stay. The permutation depends on key, kind and shape only, so a value has the
+    same pseudonym in every document, two values never share one, and ``back=True`` with the
+    key restores the texts. Only a card or IBAN whose pseudonym would run together with what
+    stands beside it is permuted on there.
     (Dates are written back with two-digit months and days.)
 
     Returns doc_id, text, n_replaced for each row; with ``keep_columns`` the input's

@@ -350,3 +350,33 @@ def test_values_beside_digits_and_capitals(line, values):
             assert new[at:a] == line[at:a]
             at = a + len(v)
         assert new[at:] == line[at:]
+
+
+def _best_scores(p, q):
+    """Quadratic chaining of matches that don't touch: the best score of a chain that ends in each."""
+    order, best, size = sorted(range(len(p)), key=lambda i: (p[i], q[i])), {}, chaining.K
+    for i in order:
+        gaps = {j: (p[i] - p[j] - size, q[i] - q[j] - size) for j in best}
+        best[i] = size + max([best[j] - chaining.GAP_COST * (x + y) for j, (x, y) in gaps.items() if 0 <= x <= chaining.MOST_GAP and 0 <= y <= chaining.MOST_GAP] + [0])
+    return best
+
+
+def test_chains_are_those_of_quadratic_chaining():
+    rnd = np.random.default_rng(5)
+    for _ in range(50):
+        p = np.sort(rnd.choice(400, 30, replace=False)) * 3
+        q = p + rnd.integers(-6, 6, 30) * 12
+        # the first and best chain, and no match is nearer on its diagonal than those that are joined
+        keep = [i for i in range(30) if not any(p[i] - q[i] == p[j] - q[j] and abs(p[i] - p[j]) <= chaining.K + 4 for j in range(30) if j != i)]
+        p, q = p[keep], q[keep]
+        c = chaining.chains(p, q)[0]
+        gaps = (c[1:, :2] - c[:-1, :2] - c[:-1, 2:]).sum()
+        assert c[:, 2].sum() - chaining.GAP_COST * gaps == pytest.approx(max(_best_scores(p, q).values()))
+
+
+def test_a_long_run_does_not_hide_near_matches():
+    later = 1000 + 60 + np.arange(12) * 14
+    p = np.concatenate((np.arange(0, 1000, 5), later))
+    q = np.concatenate((np.arange(0, 1000, 5), later + 50))
+    found = chaining.chains(p, q)
+    assert [len(c) for c in found] == [1, 12]

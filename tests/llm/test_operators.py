@@ -380,3 +380,16 @@ def test_a_long_run_does_not_hide_near_matches():
     q = np.concatenate((np.arange(0, 1000, 5), later + 50))
     found = chaining.chains(p, q)
     assert [len(c) for c in found] == [1, 12]
+
+
+def test_passages_whose_parts_first_stood_elsewhere(spark):
+    shared = _sentences(60, 11)
+    pieces = {1: shared[:30], 2: shared[30:], 3: shared[10:40], 4: shared, 5: shared[:35], 6: shared[25:], 7: shared[15:50], 8: shared}
+    rows = [(k, " ".join(_sentences(30, 20 + k) + v + _sentences(30, 40 + k))) for k, v in pieces.items()]
+    out = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = {(r.doc_id, r.ref_doc_id): r.n_words for r in out}
+    assert got[8, 4] >= 60
+    halves = [(1, shared[:30]), (2, shared[30:]), (3, shared), (4, shared)]
+    rows = [(k, " ".join(_sentences(30, 60 + k) + v + _sentences(30, 80 + k))) for k, v in halves]
+    out = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.ref_doc_id): r.n_words for r in out} == {(4, 3): 60}

@@ -393,3 +393,16 @@ def test_passages_whose_parts_first_stood_elsewhere(spark):
     rows = [(k, " ".join(_sentences(30, 60 + k) + v + _sentences(30, 80 + k))) for k, v in halves]
     out = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r.doc_id, r.ref_doc_id): r.n_words for r in out} == {(4, 3): 60}
+
+
+def test_rare_templates_of_a_large_host_go(spark):
+    rnd = random.Random(12)
+    rows = []
+    for k in range(1200):  # a footer on 20 pages, less than 2 % of the host, and one beside a varying number of paragraphs
+        paras = "".join(f"<p>Paragraph {rnd.random()} of page {k}.</p>" for _ in range(1 + k % 60))
+        foot = "<div class=rare><a>Imprint</a><a>Contact</a></div>" if k % 60 == 7 else ""
+        rows.append((k, f"http://big.example/{k}", f"<html><body>{paras}{foot}<div class=foot>All rights reserved.</div></body></html>"))
+    out = style_tree.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    lines = Counter(x for r in out for x in r.text.split("\n"))
+    assert lines["All rights reserved."] == 0 and lines["Imprint"] == 0 and lines["Contact"] == 0
+    assert sum(n for x, n in lines.items() if x.startswith("Para")) == sum(1 + k % 60 for k in range(1200))

@@ -58,19 +58,18 @@ def _tree_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield flush()
 
 
-def importance(pages: DataFrame, gamma: float = 0.9, min_pages: int = 8, min_share: float = 0.02) -> DataFrame:
+def importance(pages: DataFrame, gamma: float = 0.9, min_pages: int = 8) -> DataFrame:
     """(host, node, importance) of every node of each host's style tree; pages has host and html.
 
     A node with m pages has importance 1 if m = 1; else, with children, the entropy to
     base m of its styles, and without, 1 less the mean entropy to base m of its features
     over pages. A node's composite importance adds its children's: (1 - gamma^l) own +
     gamma^l sum over its l styles of their share times the mean over the style's children.
-    Nodes on too few pages to tell have importance 1.
+    Nodes on fewer than ``min_pages`` pages, too few to tell, have importance 1, however many pages the host has.
     """
     shape = "host string, node bigint, depth int, above bigint, style bigint, children int, feature bigint, n double, s double"
     raw = materialise(pages.select("host", "html").mapInPandas(_tree_frames, shape), "style-trees")
     styles = raw.where("style IS NOT NULL").groupBy("host", "node", "depth", "above", "style", "children").agg(F.sum("n").alias("pages"))
-    sizes = styles.where("depth = 0").groupBy("host").agg(F.sum("pages").alias("of"))
     own = styles.groupBy("host", "node", "depth", "above").agg(
         F.sum("pages").alias("m"), F.count("*").alias("l"), F.sum(F.col("pages") * F.ln("pages")).alias("e"), F.max("children").alias("children")
     )
@@ -80,10 +79,9 @@ def importance(pages: DataFrame, gamma: float = 0.9, min_pages: int = 8, min_sha
     feature = feature.groupBy("host", "node").agg(F.avg(F.ln("n") - F.col("s") / F.col("n")).alias("mean"))
     same = lambda a, b, *cols: [a[c].eqNullSafe(b[c]) for c in ("host", *cols)]
     nodes = own.join(feature, same(own, feature, "node"), "left").select(own["*"], F.coalesce("mean", F.lit(0.0)).alias("mean"))
-    nodes = nodes.join(sizes, nodes.host.eqNullSafe(sizes.host)).select(nodes["*"], "of")
     leaf = F.when(F.col("m") > 1, 1 - F.least(F.col("mean") / F.ln("m"), F.lit(1.0))).otherwise(F.lit(1.0))
     nodes = nodes.withColumn("own", F.when(F.col("children") > 0, F.col("spread")).otherwise(leaf))
-    few = F.col("m") < F.greatest(F.lit(float(min_pages)), F.col("of") * F.lit(min_share))
+    few = F.col("m") < min_pages
     nodes = materialise(nodes.select("host", "node", "depth", "above", "l", "m", "own", few.alias("few")), "style-nodes")
     links = materialise(styles.where("children > 0").select("host", "node", "depth", "style", "children", "pages"), "styles")
     deepest = nodes.agg(F.max("depth")).first()[0]
@@ -120,7 +118,7 @@ def extract(pages: DataFrame, threshold: float = 0.6, id_col: str = "page_id", u
 
     - null html: text null, n_removed 0. Empty html: empty text. Broken html is read as far as it goes.
     - null url, or one without a host: such pages make up one host. Null page_id: handled as any other row.
-    - a host with fewer than min_pages pages: nothing is removed. Repeated rows: each gives a row and counts as a page.
+    - a branch, or a host, with fewer than min_pages pages: nothing is removed. Repeated rows: each gives a row and counts as a page.
     - empty table: empty result. Other columns play no part, whatever their names.
     """
     kind = pages.schema[id_col].dataType.simpleString()

@@ -406,3 +406,13 @@ def test_rare_templates_of_a_large_host_go(spark):
     lines = Counter(x for r in out for x in r.text.split("\n"))
     assert lines["All rights reserved."] == 0 and lines["Imprint"] == 0 and lines["Contact"] == 0
     assert sum(n for x, n in lines.items() if x.startswith("Para")) == sum(1 + k % 60 for k in range(1200))
+
+
+def test_query_balancing_counts_the_encoded_ids(spark, texts):
+    out = balancing.op10_entropy_balancing(spark, SF).collect()
+    shares = Counter()
+    for r in out:
+        n = len(_bpe.encode(texts[r.doc_id])) if texts[r.doc_id] is not None else 0
+        assert r.tokens == n
+        shares[r.source] += r.rate * n
+    assert max(shares.values()) == pytest.approx(min(shares.values()), rel=1e-4)

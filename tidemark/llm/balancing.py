@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.checkpoint import materialise
+from tidemark.llm._bpe import DEFAULT_VOCABULARY, encode
 
 #: Rows of the rate table that may be broadcast: about 40 bytes each, so 20 MB at most.
 BROADCAST_ROWS = 500_000
@@ -160,5 +162,22 @@ def balanced_copies(
     return done.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
+def balanced_ids(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, text_col: str = "text", keep_columns: bool = False, **how) -> DataFrame:
+    """``balanced_copies`` over the token ids that the vocabulary gives; each text is encoded once, to be counted."""
+
+    @F.pandas_udf("bigint")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series([0 if t is None else len(encode(t, vocabulary)) for t in texts], dtype="int64")
+
+    name = "n_ids"
+    while name in docs.columns:
+        name += "_"
+    work = docs.withColumn(name, counted(F.col(text_col)))
+    sized = materialise(work if keep_columns else work.drop(text_col), "mixing-tokens")
+    out = balanced_copies(sized, tokens=F.col(name), keep_columns=keep_columns, **how)
+    return out.drop(name) if keep_columns else out
+
+
 def op10_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return balanced_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang", "text")
+    return balanced_ids(docs)

@@ -79,3 +79,38 @@ def test_pages(spark):
     got = {r.page_id: r.text for r in out}
     assert got[1] == "hello" and got[2] is None and got[3] == "" and got[4] == "deep" and got[5] == LONG and got[6] == "plain"
     assert len(out) == len(rows) and style_tree.extract(df.limit(0)).count() == 0
+
+
+BIG = [2**53 + 1, None, 2**53 + 3, -(2**63), 2**63 - 1]
+
+
+@pytest.mark.parametrize("name", sorted({*OPERATORS, *STAGES}))
+def test_ids_beside_a_null_stay_as_they_are(spark, name):
+    """64-bit ids in one partition with a null one."""
+    texts = [" ".join(f"{w}{(k * 7 + j) % 50}" for j in range(60)) for k, w in enumerate(("alpha", "beta", "gamma", "delta", "eps"))]
+    rows = [(i, t, "en", f"s{k}", len(t)) for k, (i, t) in enumerate(zip(BIG, texts))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    named = {b for b in BIG if b is not None}
+    for run in (OPERATORS.get(name), STAGES.get(name)):
+        if run is None:
+            continue
+        out = run(df)
+        assert {f.name: f.dataType.simpleString() for f in out.schema}.get("doc_id", "bigint") == "bigint"
+        if name == "planes":
+            got = {i for r in out.collect() for i in r.doc_ids}
+            assert {r.doc_id for r in bitplanes.read_planes(out).collect()} == set(BIG)
+        elif name == "chains":
+            twice = df.union(df.select(df.doc_id - 1, "text", "lang", "source", "n_chars").where("doc_id > 0 AND doc_id IS NOT NULL")).coalesce(1)
+            got = {i for r in run(twice).collect() for i in (r.doc_id, r.ref_doc_id)}
+            assert got == {b for b in named if b > 0} | {b - 1 for b in named if b > 0}
+            continue
+        else:
+            got = {r.doc_id for r in out.collect()}
+        if name == "bpe":
+            assert {r.doc_id: r.text for r in chunked_bpe.decode_ids(out).collect()} == dict(zip(BIG, texts))
+        assert got - {None} == named if name != "balancing" or run is OPERATORS[name] else got <= set(BIG)
+
+
+def test_page_ids_beside_a_null_stay_as_they_are(spark):
+    df = spark.createDataFrame([(i, "http://a/", f"<p>text {i}</p>") for i in BIG], "page_id long, url string, html string").coalesce(1)
+    assert {r.page_id: r.text for r in style_tree.extract(df).collect()} == {i: f"text {i}" for i in BIG}

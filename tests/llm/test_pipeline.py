@@ -24,7 +24,7 @@ def test_stages_and_run(spark, tmp_path):
     for _ in range(len(ids)):
         before = root.copy()
         for i in range(len(ids)):
-            near = (np.bitwise_count(prints ^ prints[i]).sum(1) <= 56) & (np.minimum(n, n[i]) >= 0.6 * np.maximum(n, n[i]) - 1e-9) & (n > 0) & (n[i] > 0)
+            near = (np.bitwise_count(prints ^ prints[i]).sum(1) <= 56) & (n > 0) & (n[i] > 0)
             root[i] = min(root[i], *(root[j] for j in np.flatnonzero(near)), root[root[i]])
         if root == before:
             break

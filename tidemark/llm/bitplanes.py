@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm._bpe import DEFAULT_VOCABULARY, encode
+from tidemark.llm._frames import map_frames
 from tidemark.llm._text import batches
 
 #: Ids in a block; the last block of a shard may have fewer.
@@ -94,7 +95,8 @@ def bit_planes(
             yield pd.DataFrame([row(np.concatenate(waiting) if waiting else np.zeros(0, np.int32))], columns=names)
 
     work = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return work.mapInPandas(
+    return map_frames(
+        work,
         write,
         f"shard int, block int, first_id bigint, n_ids int, planes string, plane_ends array<int>, payload binary, doc_ids array<{kind}>, doc_starts array<bigint>, doc_lengths array<int>",
     )
@@ -112,7 +114,7 @@ def read_planes(blocks: DataFrame) -> DataFrame:
                 if b.shard != shard:
                     shard, ids, place, open_ = b.shard, np.zeros(0, np.int32), 0, []
                 ids = np.concatenate((ids, unpack(bytes(b.payload), list(b.plane_ends), b.n_ids, b.planes)))
-                open_ += list(zip(b.doc_ids, b.doc_starts, b.doc_lengths))
+                open_ += list(zip(list(b.doc_ids), b.doc_starts, b.doc_lengths))
                 done = 0
                 for i, start, length in open_:
                     if start + max(length, 0) > place + len(ids):
@@ -124,7 +126,7 @@ def read_planes(blocks: DataFrame) -> DataFrame:
                 ids, place = ids[keep - place :], keep
             yield pd.DataFrame(out, columns=["doc_id", "ids"])
 
-    return blocks.repartition("shard").sortWithinPartitions("shard", "block").mapInPandas(read, f"doc_id {kind}, ids array<int>")
+    return map_frames(blocks.repartition("shard").sortWithinPartitions("shard", "block"), read, f"doc_id {kind}, ids array<int>", exact=("doc_ids",))
 
 
 def op6_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

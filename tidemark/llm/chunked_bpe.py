@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.checkpoint import materialise
 from tidemark.llm._bpe import DEFAULT_VOCABULARY, decode, encode, token_bytes
+from tidemark.llm._frames import map_frames
 from tidemark.llm._text import U64, batches, mix
 
 #: Bytes that the rolling hash looks back on; one place in 2**CUT_BITS is a cut; no chunk is longer than MOST.
@@ -161,13 +162,14 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
             cut = cut_chunks(texts)
             common = np.concatenate(([0], np.cumsum(shared_of(cut.hashes))))[cut.first]
             out = []
-            for i, t, moves in zip(frame.id, texts, np.diff(common)):
+            for k, (t, moves) in enumerate(zip(texts, np.diff(common))):
                 if t is None:
-                    out.append((i, 0, None))
+                    out.append((k, 0, None))
                 elif not moves:
                     ids = encode(t, vocabulary)
-                    out.append((i, len(ids), ids))
-            yield pd.DataFrame(out, columns=["doc_id", "n_tokens", "ids"])
+                    out.append((k, len(ids), ids))
+            made = pd.DataFrame(out, columns=["at", "n_tokens", "ids"])
+            yield made.assign(doc_id=frame.id.array.take(made["at"].to_numpy(np.int64)))
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches(frames, "text", 1 << 19):
@@ -225,7 +227,7 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
     rest = single.select("k1", "k2", "at", "body").mapInPandas(encoded, "k1 bigint, k2 int, at bigint, body binary")
     lists = placed.union(rest).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("parts"))
     named = lists.join(keyed.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "k1", "k2", "parts").mapInArrow(together, shape)
-    return work.mapInPandas(alone, shape).union(named)
+    return map_frames(work, alone, shape).union(named)
 
 
 def decode_ids(tokens: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -236,7 +238,7 @@ def decode_ids(tokens: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col:
             yield pd.DataFrame({"doc_id": frame.id.array, "text": [None if v is None else decode(v, vocabulary) for v in frame.ids]}, columns=["doc_id", "text"])
 
     kind = tokens.schema[id_col].dataType.simpleString()
-    return tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInPandas(decoded, f"doc_id {kind}, text string")
+    return map_frames(tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")), decoded, f"doc_id {kind}, text string")
 
 
 def op8_chunked_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.checkpoint import materialise
-from tidemark.llm._text import U64, batches, mix, whole_groups
+from tidemark.llm._frames import map_frames
+from tidemark.llm._text import U64, batches, mix
+from tidemark.llm._tiles import Side, compare_all, near_in_tiles
 
 BUCKETS = 128
 #: Places within five bytes whose triplets are counted.
@@ -19,8 +21,6 @@ TRIPLETS = ((0, 1, 2), (0, 1, 3), (0, 2, 3), (0, 1, 4), (0, 2, 4), (0, 3, 4))
 LEAST = 50
 #: One step of the length code is a tenth in length; a difference of more than one step costs this much a step, as in the quartile ratios.
 STEP = 12
-#: Bands of the search: each is BAND bucket codes that must agree.
-BANDS, BAND = 20, 10
 _TABLE = [(mix(np.arange(256, dtype=U64) + U64(1000 * k + 7)) >> U64(32)).astype(np.uint32) for k in range(3 * len(TRIPLETS))]
 
 
@@ -87,31 +87,10 @@ def difference(head_a: np.ndarray, a: np.ndarray, head_b: np.ndarray, b: np.ndar
     return score
 
 
-def _masks() -> np.ndarray:
-    """(BANDS, 2): the buckets of each band; every permutation of the buckets is cut into disjoint bands."""
-    random, chosen = np.random.default_rng(11), []
-    while len(chosen) < BANDS:
-        order = random.permutation(BUCKETS)
-        chosen += [order[k : k + BAND] for k in range(0, BUCKETS - BAND + 1, BAND)]
-    out = np.zeros((BANDS, BUCKETS), np.uint8)
-    for k in range(BANDS):
-        out[k, chosen[k]] = 1
-    return np.packbits(out, axis=1, bitorder="little").view(U64)
-
-
-MASKS = _masks()
 _WORDS = [f"w{k}" for k in range(6)]
 _HEAD = ["length", "q1", "q2"]
 
 
-def band_keys(words: np.ndarray) -> np.ndarray:
-    """(n, BANDS) hashes of the codes of each band."""
-    out = np.zeros((len(words), BANDS), U64)
-    for k in range(6):
-        out = mix((out + U64(k + 1)) * U64(0x9E3779B97F4A7C15) + mix(words[:, k, None] & MASKS[None, :, k % 2]))
-    return out
-
-
 def _digest_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches(frames, "text", 1 << 19):
         good, head, words = digests(frame.text.tolist())
@@ -120,60 +99,32 @@ def _digest_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"id": frame.id.array, "digest": text} | {h: head[:, k] for k, h in enumerate(_HEAD)} | {w: words[:, k].view(np.int64) for k, w in enumerate(_WORDS)})
 
 
-def _band_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        keys = band_keys(np.ascontiguousarray(frame[_WORDS].to_numpy(np.int64)).view(U64)).view(np.int64)
-        for k in range(BANDS):
-            yield frame.assign(band=np.int32(k), key=keys[:, k])
-
-
-def near_rows(length: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All index pairs within groups sorted by length code whose codes differ by at most one: rows s places apart, for s = 1, 2, ..."""
-    active, s = np.arange(len(length)), 1
-    while len(active):
-        active = active[active + s < end[active]]
-        active = active[length[active + s] - length[active] <= 1]
-        if len(active):
-            yield active, active + s
-        s += 1
-
-
 def _compare(bound: int):
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in whole_groups(frames, ["band", "key"]):
-            band, key = frame.band.to_numpy(), frame.key.to_numpy()
-            start = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (band[1:] != band[:-1]))))
-            end = np.repeat(np.append(start[1:], len(frame)), np.diff(np.append(start, len(frame))))
-            head = frame[_HEAD].to_numpy(np.int64)
-            words = np.ascontiguousarray(frame[_WORDS].to_numpy(np.int64)).view(U64)
-            ids, copies = frame.id.to_numpy(), frame.copies.to_numpy(np.int64)
-            near, best, other = np.zeros(len(frame), np.int64), np.full(len(frame), bound + 1), np.full(len(frame), -1)
-
-            def offer(p: np.ndarray, q: np.ndarray, score: np.ndarray) -> None:
-                np.add.at(near, p, copies[q])
-                order = np.lexsort((ids[q], score))[::-1]  # the best is written last
-                last = np.full(len(frame), -1)
-                last[p[order]] = order
-                hit = np.flatnonzero(last >= 0)
-                k = last[hit]
-                better = (score[k] < best[hit]) | ((score[k] == best[hit]) & (ids[q[k]] < ids[other[hit]]))
-                best[hit[better]], other[hit[better]] = score[k[better]], q[k[better]]
-
-            for p, q in near_rows(head[:, 0], end):
-                for at in range(0, len(p), 1 << 16):
-                    a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
-                    score = difference(head[a], words[a], head[b], words[b], bound)
-                    on = np.flatnonzero(score <= bound)
-                    a, b, score = a[on], b[on], score[on]
-                    if len(a):  # a pair counts in the first band that it shares only
-                        x = words[a] ^ words[b]
-                        apart = x[:, 0:2] | x[:, 2:4] | x[:, 4:6]
-                        first = ((apart[:, None, :] & MASKS[None]) == 0).all(2).argmax(1) == band[a]
-                        a, b, score = a[first], b[first], score[first]
-                        offer(a, b, score)
-                        offer(b, a, score)
-            on = np.flatnonzero(near)
-            yield pd.DataFrame({"digest": frame.digest.array[on], "near": near[on], "score": best[on], "nearest": ids[other[on]]})
+    def compare(rows: Side, chunk: Side, same: bool) -> pd.DataFrame:
+        near = [np.zeros(len(x.ids), np.int64) for x in (rows, chunk)]
+        # best is score << 32 | place of the other's least id among its side's
+        best = [np.full(len(x.ids), (bound + 1) << 32, np.int64) for x in (rows, chunk)]
+        order = [np.argsort(x.more["least"], kind="stable") for x in (rows, chunk)]
+        place = [np.empty(len(o), np.int64) for o in order]
+        for o, at in zip(order, place):
+            at[o] = np.arange(len(o))
+        head = [np.stack((x.size, x.more["q1"], x.more["q2"]), axis=1).astype(np.int64) for x in (rows, chunk)]
+        # the second quartile's bits alone can't differ in more bits than the score
+        for p, q in near_in_tiles(rows, chunk, 1, same, (2, 3), bound):
+            for at in range(0, len(p), 1 << 16):
+                a, b = p[at : at + (1 << 16)], q[at : at + (1 << 16)]
+                score = difference(head[0][a], rows.words[a], head[1][b], chunk.words[b], bound)
+                on = np.flatnonzero(score <= bound)
+                a, b, score = a[on], b[on], score[on]
+                np.add.at(near[0], a, chunk.copies[b])
+                np.add.at(near[1], b, rows.copies[a])
+                np.minimum.at(best[0], a, score << 32 | place[1][b])
+                np.minimum.at(best[1], b, score << 32 | place[0][a])
+        out = []
+        for k, (x, other) in enumerate(((rows, chunk), (chunk, rows))):
+            on = np.flatnonzero(near[k])
+            out.append(pd.DataFrame({"a": x.ids[on], "near": near[k][on], "score": best[k][on] >> 32, "nearest": other.more["least"][order[1 - k][best[k][on] & 0xFFFFFFFF]]}))
+        return pd.concat(out, ignore_index=True)
 
     return compare
 
@@ -181,16 +132,18 @@ def _compare(bound: int):
 def fingerprint(docs: DataFrame, bound: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The digest of each document and, of all others within ``bound``, how many there are and which is nearest.
 
-    Equal digests are made one first. The others are found through bands: digests that
-    agree in all buckets of at least one band are compared, whatever their number; those
-    whose length codes differ by more than one can't be within the bound and are passed
-    over. Of pairs within the default bound well over nine tenths share a band.
+    Equal digests are made one first. All pairs of distinct ones whose length codes differ
+    by no more than one are then compared in tiles (see ``_tiles``); others can't be within
+    the bound. So counts and nearest ones are exact, and the comparison is quadratic in the
+    digests of about equal length.
 
     Returns doc_id, digest, n_near, nearest_id (the least id of those nearest), nearest_score; a row for each row.
 
-    - null text, a text of less than 50 bytes or of too few different triplets: digest null, n_near 0, no nearest.
+    - null text, a text of less than 50 bytes (too short for quartiles of 128 buckets to say
+      anything) or of too few different triplets: digest null, n_near 0, no nearest.
     - null doc_id: has a digest, but isn't searched for and finds nothing.
-    - repeated rows: a doc_id counts once as a neighbour; rows with the same doc_id aren't neighbours unless their digests differ.
+    - repeated rows: a doc_id counts once for each digest that it has; rows with the same doc_id aren't neighbours unless their digests differ.
+    - ties: of several nearest documents, the one with the least id.
     - empty table: empty result. Other columns play no part, whatever their names.
     """
     if bound >= 2 * STEP:
@@ -198,18 +151,16 @@ def fingerprint(docs: DataFrame, bound: int = 20, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
     work = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = ", ".join([f"id {kind}", "digest string", *[f"{h} int" for h in _HEAD], *[f"{w} bigint" for w in _WORDS]])
-    all_ = materialise(work.mapInPandas(_digest_frames, shape), "digests")
-    named = all_.where("digest IS NOT NULL AND id IS NOT NULL")
-    ids = F.array_sort(F.collect_set("id"))
-    same = named.groupBy("digest").agg(ids.alias("ids"), *[F.first(c).alias(c) for c in (*_HEAD, *_WORDS)])
-    same = same.select("digest", F.col("ids")[0].alias("id"), F.try_element_at("ids", F.lit(2)).alias("second"), F.size("ids").alias("copies"), *_HEAD, *_WORDS)
-    same = materialise(same, "distinct-digests")
-    banded = same.drop("second").mapInPandas(_band_frames, same.drop("second")._jdf.schema().toDDL() + ", band int, key bigint")
-    sorted_ = banded.repartition("band", "key").sortWithinPartitions("band", "key", "length")
-    found = sorted_.mapInPandas(_compare(bound), f"digest string, near bigint, score bigint, nearest {kind}")
-    summed = found.groupBy("digest").agg(F.sum("near").alias("near"), F.min(F.struct("score", "nearest")).alias("best"))
-    base = same.select("digest", "id", "second", "copies").join(summed, "digest", "left")
-    joined = all_.select("id", "digest").join(base.withColumnRenamed("id", "least"), "digest", "left")
+    all_ = materialise(map_frames(work, _digest_frames, shape), "digests")
+    named = all_.where("digest IS NOT NULL AND id IS NOT NULL").dropDuplicates(["digest", "id"])
+    same = named.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in (*_HEAD, *_WORDS)])
+    same = materialise(same.withColumnsRenamed({"digest": "id", "length": "size"}), "distinct-digests")
+    found = compare_all(same, _WORDS, ["q1", "q2", "least"], 1, _compare(bound), f"a string, near bigint, score bigint, nearest {kind}", "near-digests")
+    summed = found.groupBy("a").agg(F.sum("near").alias("near"), F.min(F.struct("score", "nearest")).alias("best"))
+    copied = same.where("copies > 1").select(F.col("id").alias("digest"), "least")
+    second = named.select("digest", "id").join(copied, "digest").where(F.col("id") != F.col("least")).groupBy("digest").agg(F.min("id").alias("second"))
+    base = same.select(F.col("id").alias("digest"), "least", "copies").join(summed.withColumnRenamed("a", "digest"), "digest", "left").join(second, "digest", "left")
+    joined = all_.select("id", "digest").join(base, "digest", "left")
     known = F.col("id").isNotNull() & F.col("digest").isNotNull()
     twin = F.when(F.col("copies") > 1, F.when(F.col("id") == F.col("least"), F.col("second")).otherwise(F.col("least")))
     return joined.select(

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm._frames import map_frames
 from tidemark.llm._text import batches
 
 #: n-grams of 1 to ORDERS characters, hashed to 2**BUCKET_BITS features.
@@ -170,7 +171,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
                     name[k], sure[k] = m.languages[best], float(p[best])
             yield pd.DataFrame({"doc_id": frame.id.array, "language": name, "probability": pd.array(sure, "Float64")})
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(predict, f"doc_id {kind}, language string, probability double")
+    return map_frames(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), predict, f"doc_id {kind}, language string, probability double")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

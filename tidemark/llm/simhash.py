@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.checkpoint import materialise
+from tidemark.llm._frames import map_frames
 from tidemark.llm._graph import components, forest
 from tidemark.llm._text import U64, batches, mix, split_words
+from tidemark.llm._tiles import Side, compare_all, near_in_tiles
 
 BITS, WORDS = 256, 4
+HASHES = [f"h{k}" for k in range(WORDS)]
 _SPREAD = np.array([int.from_bytes(bytes(b >> k & 1 for k in range(8)), "little") for b in range(256)], U64)
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -55,110 +58,83 @@ def _fingerprint_frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
     for frame in batches(frames, "text"):
         prints, counts = fingerprints(frame.text.tolist())
         signed = prints.view(np.int64)
-        yield pd.DataFrame({"id": frame.id.array, "n": counts} | {f"h{k}": signed[:, k] for k in range(WORDS)})
-
-
-def near_pairs(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, radius: int, ratio: float, tile: int = 128, wide: int = 2048) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of ``a`` and ``b`` within ``radius`` bits and whose feature counts differ by no more than ``ratio``.
-
-    Both sides must be sorted by feature count. Tile pairs are passed over where no
-    counts can agree, or where the population counts differ beyond the radius.
-    """
-    pa, pb = np.bitwise_count(a).sum(1, dtype=np.int64), np.bitwise_count(b).sum(1, dtype=np.int64)
-    a_cols, b_cols = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
-    spare, tested, total = np.empty((tile, wide), U64), np.empty((tile, wide), np.uint8), np.empty((tile, wide), np.uint8)
-    for i in range(0, len(a), tile):
-        ie = min(i + tile, len(a))
-        begin, end = np.searchsorted(nb, na[i] * ratio - 1e-9), np.searchsorted(nb, na[ie - 1] / ratio + 1e-9, side="right")
-        for j in range(begin, end, wide):
-            je = min(j + wide, end)
-            if pa[i:ie].min() - pb[j:je].max() > radius or pb[j:je].min() - pa[i:ie].max() > radius:
-                continue
-            x, y, s = spare[: ie - i, : je - j], tested[: ie - i, : je - j], total[: ie - i, : je - j]
-            for k in range(WORDS - 1):  # 192 bits at most fit a byte; the rest is compared for what is left
-                np.bitwise_xor(a_cols[k, i:ie, None], b_cols[k, j:je], out=x)
-                np.bitwise_count(x, out=y if k else s)
-                if k:
-                    np.add(s, y, out=s)
-            near = np.flatnonzero(s.ravel() <= radius)
-            if len(near):
-                p, q = np.divmod(near, je - j)
-                p, q = p + i, q + j
-                ok = np.bitwise_count(a[p] ^ b[q]).sum(1) <= radius
-                low, high = np.minimum(na[p], nb[q]), np.maximum(na[p], nb[q])
-                ok &= low >= high * ratio - 1e-9
-                if ok.any():
-                    yield p[ok], q[ok]
-
-
-def _compare(radius: int, ratio: float):
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["n", "id"], kind="stable")
-        prints = np.ascontiguousarray(frame[[f"h{k}" for k in range(WORDS)]].to_numpy(np.int64)).view(U64)
-        n, side = frame.n.to_numpy(), frame.side.to_numpy()
-        one = np.flatnonzero(side == 0)
-        two = one if not (side == 1).any() and frame.same.iat[0] else np.flatnonzero(side == 1)
-        root = np.arange(len(frame))
-        for p, q in near_pairs(prints[one], n[one], prints[two], n[two], radius, ratio):
-            root = forest(len(frame), one[p], two[q], root)
-        ids = frame.id.to_numpy()
-        child = np.flatnonzero(root != np.arange(len(frame)))
-        return pd.DataFrame({"a": ids[child], "b": ids[root[child]]})
+        yield pd.DataFrame({"id": frame.id.array, "n": counts} | {h: signed[:, k] for k, h in enumerate(HASHES)})
+
+
+def _forest_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that join what ``pairs`` join, one less than the nodes of each component."""
+    a, b = (np.concatenate(x) for x in zip(*pairs))
+    nodes, where = np.unique(np.concatenate((a, b)), return_inverse=True)
+    root = forest(len(nodes), where[: len(a)], where[len(a) :])
+    child = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[child], nodes[root[child]]
+
+
+def _compare(radius: int):
+    def compare(rows: Side, chunk: Side, same: bool) -> pd.DataFrame:
+        links, others, pairs, held = np.zeros(len(rows.ids), np.int64), np.zeros(len(chunk.ids), np.int64), [], 0
+        # three words, 192 bits, are compared for all; the fourth for what is left
+        for p, q in near_in_tiles(rows, chunk, radius, same, (0, 1, 2), radius):
+            ok = np.bitwise_count(rows.words[p] ^ chunk.words[q]).sum(1) <= radius
+            p, q = p[ok], q[ok]
+            np.add.at(links, p, chunk.copies[q])
+            np.add.at(others, q, rows.copies[p])
+            pairs.append((p, len(rows.ids) + q))
+            held += len(p)
+            if held > 1 << 20:
+                pairs, held = [_forest_of(pairs)], 0
+        a, b = _forest_of(pairs) if pairs else (np.zeros(0, np.int64),) * 2
+        ids = np.concatenate((rows.ids, chunk.ids))
+        on, off = np.flatnonzero(links), np.flatnonzero(others)
+        edges = pd.DataFrame({"a": ids[a], "b": ids[b]})
+        counts = pd.DataFrame({"a": np.concatenate((rows.ids[on], chunk.ids[off])), "links": np.concatenate((links[on], others[off]))})
+        return pd.DataFrame({
+            "a": np.concatenate((edges.a.to_numpy(), counts.a.to_numpy())),
+            "b": pd.Series(np.append(edges.b.to_numpy().astype(object), np.full(len(counts), None))),
+            "links": np.concatenate((np.zeros(len(edges), np.int64), counts.links.to_numpy(np.int64))),
+        })
 
     return compare
 
 
-def near_duplicates(
-    docs: DataFrame, radius: int = 56, ratio: float = 0.6, block_rows: int = 32768, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 56, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents whose SimHashes are near; the least doc_id of each group is kept.
 
-    Two documents are near if their 256-bit SimHashes differ in at most ``radius`` bits
-    and the smaller has at least ``ratio`` of the other's features. The comparison is
-    exact: equal fingerprints are first made one, then every pair of blocks whose
-    feature counts can agree is compared, in tiles. Groups are the connected components.
-    A task holds two blocks of ``block_rows`` fingerprints and returns a spanning
-    forest, never the pairs, so groups of any size stay linear.
+    Two documents are near if their 256-bit SimHashes differ in at most ``radius`` bits.
+    The comparison is exact: equal fingerprints are first made one, then all pairs of
+    distinct ones are compared in tiles, in order of population count (see ``_tiles``);
+    tile pairs whose population counts differ beyond the radius are passed over. Groups
+    are the connected components. Tasks return spanning forests and counts, never the
+    pairs, so groups of any size stay linear; the comparison itself is quadratic in the
+    distinct fingerprints.
 
-    Returns doc_id, fingerprint (hexadecimal), group_id, keep; one row for each distinct doc_id.
+    Returns doc_id, fingerprint (hexadecimal), group_id, n_links (how many other documents
+    are near), keep; one row for each distinct doc_id.
 
-    - null or empty text, or one without words: fingerprint null, a group of its own, kept.
+    - null or empty text, or one without words: fingerprint null, a group of its own, no links, kept.
     - null doc_id: such rows can't be named in a group and give no row.
     - repeated doc_id: one document. If its texts differ, the least fingerprint stands for it.
     - empty table: empty result. Other columns play no part, whatever their names.
     """
     work = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col(id_col).isNotNull())
     kind = docs.schema[id_col].dataType.simpleString()
-    hashed = [f"h{k}" for k in range(WORDS)]
-    raw = work.mapInPandas(_fingerprint_frames, f"id {kind}, n bigint, " + ", ".join(f"{h} bigint" for h in hashed))
-    prints = materialise(raw.groupBy("id").agg(F.min(F.struct(*hashed, "n")).alias("p")).select("id", "p.*"), "fingerprints")
-    some = prints.where(F.col("n") > 0)
-    same = some.groupBy(*hashed).agg(F.min("id").alias("first"), F.min("n").alias("n"), F.collect_list("id").alias("ids"))
-    same = materialise(same, "distinct-fingerprints")
-    copies = same.where(F.size("ids") > 1).select(F.explode("ids").alias("a"), F.col("first").alias("b"))
-
-    band = F.floor(F.log("n") / F.lit(-float(np.log(ratio)))).cast("int")
-    banded = same.select(F.col("first").alias("id"), "n", *hashed, band.alias("band"))
-    sizes = banded.groupBy("band").count()
-    width = sizes.select("band", F.ceil(F.col("count") / F.lit(block_rows)).cast("int").alias("g"))
-    around = width.select(F.col("band"), "g").join(width.select((F.col("band") - 1).alias("band"), F.col("g").alias("above")), "band", "left")
-    around = around.join(width.select((F.col("band") + 1).alias("band"), F.col("g").alias("below")), "band", "left")
-    placed = banded.join(F.broadcast(around), "band").withColumn("i", F.pmod(F.xxhash64("id"), F.col("g")).cast("int"))  # a row for each feature-count band, some forty
-    others = lambda n: F.sequence(F.lit(0), n - 1)
-    none = F.array().cast("array<struct<band:int,i:int,same:boolean,j:int,side:int>>")
-    spot = lambda b, i, s, j, side: F.struct(b.cast("int").alias("band"), i.cast("int").alias("i"), F.lit(s).alias("same"), j.cast("int").alias("j"), F.lit(side).alias("side"))
-    b, i = F.col("band"), F.col("i")
-    own = F.transform(others(F.col("g")), lambda j: F.struct(b.alias("band"), F.least(i, j).alias("i"), F.lit(True).alias("same"), F.greatest(i, j).alias("j"), F.when(i <= j, 0).otherwise(1).alias("side")))
-    up = F.when(F.col("above").isNotNull(), F.transform(others(F.col("above")), lambda j: spot(b, i, False, j, 0))).otherwise(none)
-    down = F.when(F.col("below").isNotNull(), F.transform(others(F.col("below")), lambda j: spot(b - 1, j, False, i, 1))).otherwise(none)
-    tasks = placed.select("id", "n", *hashed, F.explode(F.concat(own, up, down)).alias("at")).select("id", "n", *hashed, "at.*")
-    edges = tasks.groupBy("band", "i", "same", "j").applyInPandas(_compare(radius, ratio), f"a {kind}, b {kind}")
-
-    groups = components(edges.union(copies))
-    shown = F.when(F.col("n") > 0, F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in hashed])))
-    out = prints.join(groups.withColumnRenamed("node", "id"), "id", "left")
+    raw = map_frames(work, _fingerprint_frames, f"id {kind}, n bigint, " + ", ".join(f"{h} bigint" for h in HASHES))
+    prints = materialise(raw.groupBy("id").agg(F.min(F.struct(*HASHES, (F.col("n") > 0).alias("some"))).alias("p")).select("id", "p.*"), "fingerprints")
+    size = sum((F.bit_count(h) for h in HASHES[1:]), F.bit_count(HASHES[0])).cast("int")
+    same = prints.where("some").groupBy(*HASHES).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
+    same = materialise(same.select("id", "copies", size.alias("size"), *HASHES), "distinct-fingerprints")
+    found = materialise(compare_all(same, HASHES, [], radius, _compare(radius), f"a {kind}, b {kind}, links bigint", "near-fingerprints"), "near-fingerprints")
+    root = components(found.where("b IS NOT NULL").select("a", "b"))
+    links = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
+    known = same.join(links.withColumnRenamed("a", "id"), "id", "left").join(root.withColumnRenamed("node", "id"), "id", "left")
+    known = known.select(*HASHES, F.coalesce("root", "id").alias("root"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.lit(True).alias("some"))
+    out = prints.join(known, [*HASHES, "some"], "left")
+    shown = F.when(F.col("some"), F.lower(F.concat(*[F.lpad(F.hex(h), 16, "0") for h in HASHES])))
     group = F.coalesce("root", "id")
-    return out.select(F.col("id").alias("doc_id"), shown.alias("fingerprint"), group.alias("group_id"), (group == F.col("id")).alias("keep"))
+    return out.select(
+        F.col("id").alias("doc_id"), shown.alias("fingerprint"), group.alias("group_id"),
+        F.coalesce("links", F.lit(0)).alias("n_links"), (group == F.col("id")).alias("keep"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
@@ -169,9 +145,14 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> Data
     """
     gone = near_duplicates(docs, id_col=id_col, **how).where(~F.col("keep")).select(F.col("doc_id").alias(id_col))
     left = docs.join(gone, id_col, "left_anti").select(docs.columns)
-    row = F.struct(F.xxhash64(*docs.columns).alias("k"), F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))).alias("rank"))
-    marked = left.select(F.struct(*left.columns).alias("row"), row.alias("at"))
-    return marked.where((F.col("at.rank") == 1) | F.col("row")[id_col].isNull()).select("row.*")
+    spare = "hash"
+    while spare in docs.columns:
+        spare += "_"
+    hashed = left.withColumn(spare, F.xxhash64(*docs.columns))
+    # null ids aren't ranked, so they don't meet in one task
+    first = Window.partitionBy(id_col).orderBy(spare)
+    named = hashed.where(F.col(id_col).isNotNull()).withColumn(spare, F.row_number().over(first)).where(F.col(spare) == 1)
+    return named.select(docs.columns).union(hashed.where(F.col(id_col).isNull()).select(docs.columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.checkpoint import discard, materialise
 from tidemark.llm._dom import HIDDEN, _hash, identify, parse, visible_text
+from tidemark.llm._frames import map_frames
 from tidemark.llm._text import batches
 
 #: Low nodes that may be sent to every worker: 16 bytes each, so 16 MB at most.
@@ -144,7 +145,7 @@ def extract(pages: DataFrame, threshold: float = 0.6, id_col: str = "page_id", u
                 identify(root)
                 yield page, root, known.value.get(h, frozenset())
 
-        return work.mapInPandas(lambda frames: clean(frames, by_host), shape)
+        return map_frames(work, lambda frames: clean(frames, by_host), shape)
 
     # too many: each page's nodes are matched by a join, and only its own low ones come back to it
     def nodes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,7 +163,7 @@ def extract(pages: DataFrame, threshold: float = 0.6, id_col: str = "page_id", u
             identify(root)
             yield page, root, frozenset() if gone is None else set(np.asarray(gone).tolist())
 
-    return keyed.join(mine, "key", "left").mapInPandas(lambda frames: clean(frames, by_page), shape)
+    return map_frames(keyed.join(mine, "key", "left"), lambda frames: clean(frames, by_page), shape)
 
 
 def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -124,7 +124,7 @@ def read_planes(blocks: DataFrame) -> DataFrame:
                 open_ = open_[done:]
                 keep = open_[0][1] if open_ else place + len(ids)
                 ids, place = ids[keep - place :], keep
-            yield pd.DataFrame(out, columns=["doc_id", "ids"])
+            yield pd.DataFrame({"doc_id": pd.Series([i for i, _ in out], dtype=object), "ids": pd.Series([v for _, v in out], dtype=object)})
 
     return map_frames(blocks.repartition("shard").sortWithinPartitions("shard", "block"), read, f"doc_id {kind}, ids array<int>", exact=("doc_ids",))
 

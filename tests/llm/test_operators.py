@@ -68,7 +68,7 @@ def test_passages(spark):
     assert got[6, 1].start_char == 0 and got[6, 1].end_char == len(", ".join(docs[1])) and got[6, 1].identity == 1
 
 
-def test_chain_score_is_the_best():
+def test_chains_are_in_order():
     rnd = np.random.default_rng(3)
     for _ in range(50):
         p = np.sort(rnd.choice(300, 25, replace=False))
@@ -396,7 +396,7 @@ def _best_scores(p, q):
 
 def test_chains_are_those_of_quadratic_chaining():
     rnd = np.random.default_rng(5)
-    for _ in range(50):
+    for _ in range(1000):
         p = np.sort(rnd.choice(400, 30, replace=False)) * 3
         q = p + rnd.integers(-6, 6, 30) * 12
         # the first and best chain, and no match is nearer on its diagonal than those that are joined
@@ -428,6 +428,123 @@ def test_passages_whose_parts_first_stood_elsewhere(spark):
     assert {(r.doc_id, r.ref_doc_id): r.n_words for r in out} == {(4, 3): 60}
 
 
+def test_a_passage_whose_quarters_stand_elsewhere(spark):
+    shared = _sentences(240, 31)
+    docs = {k: _sentences(40, 50 + k) + shared[60 * (k - 1) : 60 * k] + _sentences(40, 60 + k) for k in range(1, 5)}
+    docs |= {k: _sentences(30, 70 + k) + shared + _sentences(30, 80 + k) for k in (10, 11)}
+    out = chaining.repeated_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string"), min_words=100).collect()
+    assert [(r.doc_id, r.ref_doc_id, r.n_words) for r in out] == [(11, 10, 240)]
+
+
+def test_a_passage_whose_parts_stand_in_many_documents(spark):
+    """More documents than MANY hold each part, so only the words that follow a seed lead to the one that holds the whole."""
+    shared = _sentences(70, 32)
+    docs = {100 * j + k: _sentences(20, 1000 + 100 * j + k) + shared[14 * j : 14 * j + 14] + _sentences(20, 2000 + 100 * j + k) for j in range(5) for k in range(20)}
+    docs |= {k: _sentences(20, 3000 + k) + shared + _sentences(20, 4000 + k) for k in (900, 901)}
+    out = chaining.repeated_passages(spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")).collect()
+    assert [(r.doc_id, r.ref_doc_id) for r in out] == [(901, 900)] and out[0].n_words >= 70
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_pairs_of_seeds_by_brute_force(spark, docs, texts, monkeypatch, hot):
+    """Seeds of few documents meet all lesser ones, others the first and those in which the following words are the same; hot ones too, by another way."""
+    monkeypatch.setattr(chaining, "MANY", 3)
+    if hot:
+        monkeypatch.setattr(chaining, "SAMPLE", 1)
+        monkeypatch.setattr(chaining, "LEAST_HOT", 5)
+        monkeypatch.setattr(chaining, "HOT_SHARE", 0.0)
+    work = docs.selectExpr("doc_id AS id", "text").where("length(text) > 0")
+    held = defaultdict(lambda: defaultdict(list))
+    words = {}
+    for k, t in texts.items():
+        if t:
+            w = chaining.split_words([t])
+            words[k] = w.hashes.tolist()
+            for p, h in zip(*chaining.seeds(w)[1:]):
+                held[int(h)][k].append(int(p))
+    got = defaultdict(set)
+    for r in chaining.matched_seeds(work, 40).collect():
+        assert r.ref < r.id
+        p, q = (r.pos, r.ref_pos) if r.pos >= 0 else (-1 - r.pos, -1 - r.ref_pos)
+        n = 40 if r.pos < 0 else chaining.K
+        assert words[r.id][p : p + n] == words[r.ref][q : q + n]
+        got[r.id, p].add(r.ref)
+    for h, places in held.items():
+        ids = sorted(places)
+        for k in ids[1:]:
+            lesser = [j for j in ids if j < k]
+            wanted = set(lesser if len(ids) <= 3 and not (hot and sum(map(len, places.values())) >= 5) else lesser[:2])
+            for p in places[k]:
+                assert wanted <= got[k, p]
+                run = words[k][p : p + 40]
+                same = {j for j in lesser for q in places[j] if len(run) == 40 and words[j][q : q + 40] == run}
+                assert not same or same & got[k, p]
+
+
+def test_gaps_are_aligned_with_least_edits_and_most_matches():
+    assert chaining._gap(np.array([1, 2, 3]), np.array([2, 3, 4])) == (2, 4)
+    rnd = random.Random(17)
+    for _ in range(300):
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(1, 7))] for _ in range(2))
+        best = {(0, 0): (0, 0)}  # (edits, -matches)
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                tries = []
+                if i and j:
+                    e, m = best[i - 1, j - 1]
+                    tries.append((e + (a[i - 1] != b[j - 1]), m - (a[i - 1] == b[j - 1])))
+                for x, y in ((i - 1, j), (i, j - 1)):
+                    if x >= 0 and y >= 0:
+                        tries.append((best[x, y][0] + 1, best[x, y][1]))
+                if tries:
+                    best[i, j] = min(tries)
+        edits, matches = best[len(a), len(b)]
+        assert chaining._gap(np.array(a), np.array(b)) == (-matches, edits - matches)
+
+
+def test_passages_say_what_they_match(spark, docs, texts):
+    """Every row's places hold the words that it counts, by an alignment of the two passages alone."""
+    from difflib import SequenceMatcher
+
+    out = chaining.op2_collinear_chains(spark, SF).collect()
+    assert out
+    for r in out:
+        a = re.findall(rb"[a-z0-9\x80-\xff]+", texts[r.doc_id][r.start_char : r.end_char].encode().lower())
+        b = re.findall(rb"[a-z0-9\x80-\xff]+", texts[r.ref_doc_id][r.ref_start_char : r.ref_end_char].encode().lower())
+        assert r.ref_doc_id < r.doc_id and len(a) == r.n_words >= 40 and len(b) >= 40 and 0.7 <= r.identity <= 1
+        assert r.n_matched <= min(len(a), len(b)) and (a == b) == (r.identity == 1.0)
+        longest = _common(a, b)
+        assert r.n_matched <= longest and r.n_matched >= 0.9 * longest, SequenceMatcher(None, a, b).ratio()
+
+
+def _common(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b):
+            keep = row[j + 1]
+            row[j + 1] = last + 1 if x == y else max(row[j + 1], row[j])
+            last = keep
+    return row[-1]
+
+
+def test_recall_by_identity(spark):
+    """Passages of 80 words with words changed at random: how many are found, by identity; the README states these figures."""
+    rnd, rows, wanted = random.Random(21), [], {}
+    for n, identity in enumerate((0.95, 0.9, 0.85, 0.8)):
+        for k in range(60):
+            shared = _sentences(80, 5000 + 100 * n + k)
+            changed = [w if rnd.random() < identity else f"x{rnd.randrange(10**6)}" for w in shared]
+            one = 10_000 * (n + 1) + 2 * k
+            rows += [(one, " ".join(_sentences(30, 9000 + one) + shared)), (one + 1, " ".join(changed + _sentences(30, 19000 + one)))]
+            wanted[one + 1] = (identity, one)
+    out = chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = Counter(wanted[r.doc_id][0] for r in {(r.doc_id, r.ref_doc_id): r for r in out}.values() if wanted[r.doc_id][1] == r.ref_doc_id)
+    print({k: v / 60 for k, v in found.items()})
+    assert found[0.95] >= 57 and found[0.9] >= 48
+
+
 def test_rare_templates_of_a_large_host_go(spark):
     rnd = random.Random(12)
     rows = []

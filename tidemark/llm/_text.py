@@ -8,8 +8,8 @@ from dataclasses import dataclass
 import numpy as np
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+BASE = 0x9E3779B97F4A7C15 | 1
+INVERSE = pow(BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
 
 #: 1 where a byte belongs to a word: ASCII letters and digits, and every byte of a non-ASCII character.
@@ -74,15 +74,15 @@ def split_words(texts: Iterable[str | None]) -> Words:
     start, end = edge[0::2], edge[1::2]
     sums = np.zeros(len(data) + 1, U64)
     if len(data):
-        np.cumsum((data.astype(U64) + U64(1)) * powers(_BASE, len(data)), out=sums[1:])
-    hashes = mix((sums[end] - sums[start]) * powers(_INVERSE, len(data) + 1)[start])
+        np.cumsum((data.astype(U64) + U64(1)) * powers(BASE, len(data)), out=sums[1:])
+    hashes = mix((sums[end] - sums[start]) * powers(INVERSE, len(data) + 1)[start])
     return Words(data, hashes, start, end, np.searchsorted(start, base), base)
 
 
 def batches(frames: Iterator, column: str, most_bytes: int = 4 << 20) -> Iterator:
     """The frames cut so that each holds about ``most_bytes`` characters of ``column``, or one row."""
     for frame in frames:
-        sizes = np.fromiter((len(t) if isinstance(t, str) else 0 for t in frame[column]), np.int64, len(frame))
+        sizes = np.fromiter((len(t) if isinstance(t, (str, bytes)) else 0 for t in frame[column]), np.int64, len(frame))
         total, begin = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > most_bytes:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import balancing, bitplanes, chaining, chunked_bpe, digest, language_id, line_frequency, pseudonyms, simhash, style_tree
 
+KEY = b"a key for tests"
 LONG = " ".join(f"word{k % 977} other{k % 31}" for k in range(60_000))
 ROWS = [
     (1, "A plain text with a few words, and mail a.b@example.com in it.\nsecond line", "en", "s1", 10),
@@ -25,7 +26,7 @@ CLASHES = ["row", "id", "host", "hash", "line", "lines", "left", "frequent", "at
 OPERATORS = {
     "line frequency": line_frequency.filter_frequent_lines,
     "chains": chaining.repeated_passages,
-    "pseudonyms": pseudonyms.pseudonymise,
+    "pseudonyms": lambda d: pseudonyms.pseudonymise(d, KEY),
     "simhash": simhash.near_duplicates,
     "digest": digest.fingerprint,
     "planes": bitplanes.bit_planes,
@@ -36,7 +37,7 @@ OPERATORS = {
 STAGES = {
     "line frequency": lambda d: line_frequency.filter_frequent_lines(d, keep_columns=True),
     "simhash": simhash.drop_near_duplicates,
-    "pseudonyms": lambda d: pseudonyms.pseudonymise(d, keep_columns=True),
+    "pseudonyms": lambda d: pseudonyms.pseudonymise(d, KEY, keep_columns=True),
     "balancing": lambda d: balancing.balanced_copies(d, keep_columns=True),
 }
 

@@ -98,21 +98,73 @@ def test_feistel_is_a_permutation():
         assert sorted(image) == list(range(n)) and [f.walk(y, back=True) for y in image] == list(range(n))
 
 
+KEY = b"a key for tests"
+
+
+def _plain_values(text):
+    """Values that are plain to see: addresses, cards in fours, ISO dates, IPs with four parts, by expressions of their own."""
+    mails = re.findall(r"(?<![\w.%+-])[a-z]+[a-z.]*@[a-z]+\.[a-z]{2,4}\b", text)
+    cards = [c for c in re.findall(r"(?<![\d -])(?:\d{4} ){3}\d{4}(?![\d -])", text) if sum(sum(divmod(int(d) * (1 + k % 2), 10)) for k, d in enumerate(reversed(c.replace(" ", "")))) % 10 == 0]
+    ips = [i for i in re.findall(r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.])", text) if all(int(p) < 256 and str(int(p)) == p for p in i.split("."))]
+    return mails, cards, ips
+
+
 def test_pseudonyms(spark, docs, texts):
+    spark.conf.set(pseudonyms.KEY_SETTING, KEY.hex())
     out = {r.doc_id: r for r in pseudonyms.op3_feistel_pseudonyms(spark, SF).collect()}
-    brute = pseudonyms.Pseudonymiser(pseudonyms.DEMO_KEY)
+    spark.conf.unset(pseudonyms.KEY_SETTING)
+    brute = pseudonyms.Pseudonymiser(KEY)
     assert {k: tuple(r)[1:] for k, r in out.items()} == {k: brute.replace(t) for k, t in texts.items()}
-    assert any(r.n_replaced for r in out.values())
+    linked, seen = {}, 0
+    for k, t in texts.items():  # by other means: formats stay, values change, equal ones alike and others not
+        old, new = _plain_values(t), _plain_values(out[k].text)
+        assert re.sub("[0-9]+", "9", re.sub("[a-z]", "a", t)) == re.sub("[0-9]+", "9", re.sub("[a-z]", "a", out[k].text))
+        for kind, (a, b) in enumerate(zip(old, new)):
+            assert len(a) == len(b)
+            for x, y in zip(a, b):
+                assert x not in out[k].text and linked.setdefault((kind, x), y) == y
+                seen += 1
+    assert seen > 3 and len(set(linked.values())) == len(linked)
     line = "mail a.b@ex-mple.org card 4111 1111 1111 1111 ssn 123-45-6789 date 2024-02-29 or 29.02.2024 ip 8.8.8.8 phone (415) 555-2671 iban DE89 3704 0044 0532 0130 00 pi 3.14159 no 4111 1111 1111 1112 bad 2024-02-30"
     new, n = brute.replace(line)
     assert n == 8 and new.endswith("no 4111 1111 1111 1112 bad 2024-02-30") and "pi 3.14159" in new
     assert pseudonyms.luhn(re.sub(r"\D", "", re.search(r"card ([\d ]+) ssn", new)[1])) and pseudonyms.iban_rest(re.search(r"iban ([A-Z0-9 ]+) pi", new)[1].replace(" ", "")) == 1
     iso, dotted = re.search(r"date (\S+) or (\S+)", new).groups()
     assert dt.date.fromisoformat(iso) == dt.datetime.strptime(dotted, "%d.%m.%Y").date()  # equal dates stay linked
-    assert pseudonyms.Pseudonymiser(pseudonyms.DEMO_KEY, back=True).replace(new)[0] == line
+    assert pseudonyms.Pseudonymiser(KEY, back=True).replace(new)[0] == line
     assert brute.replace("4111-1111-1111-1111")[0].replace("-", " ") in new
 
 
+def test_one_value_has_one_pseudonym_in_any_spelling():
+    worker, back = pseudonyms.Pseudonymiser(KEY), pseudonyms.Pseudonymiser(KEY, back=True)
+    read = {"%Y-%m-%d": "{0:%Y-%m-%d}", "%d/%m/%Y": "{0:%d/%m/%Y}", "%d.%m.%Y": "{0:%d.%m.%Y}", "%m/%d/%Y": "{0:%m/%d/%Y}", "%Y/%m/%d": "{0:%Y/%m/%d}"}
+    for k in range(0, 73049, 283):
+        day, images = dt.date(1900, 1, 1) + dt.timedelta(k), set()
+        for parse_, show in read.items():
+            if parse_ == "%d/%m/%Y" and day.day <= 12:
+                continue  # reads as month first
+            text = show.format(day)
+            new = worker.replace(text)[0]
+            images.add(dt.datetime.strptime(new, parse_).date())
+            assert back.replace(new)[0] == text
+        assert len(images) == 1
+    digits = lambda t: re.sub(r"\D", "", t)
+    for same in (["+420 123456789", "+420123456789", "+420 123 456 789"], ["+353 1 2345678", "+35312345678"], ["+14155552671", "+1 (415) 555-2671", "+1-415-555-2671"], ["+44 20 7946 0958", "+442079460958"]):
+        new = [worker.replace(t) for t in same]
+        assert all(n == 1 for _, n in new) and len({digits(t) for t, _ in new}) == 1 and digits(new[0][0]) != digits(same[0])
+        assert [back.replace(t)[0] for t, _ in new] == same
+    assert digits(worker.replace("(415) 555-2671")[0]) == digits(worker.replace("+14155552671")[0])[1:]
+    german = [worker.replace(t)[0] for t in ("+49 (0)30 1234567", "+49 30 1234567")]
+    assert german[0].replace("(0)", "") == german[1] and "(0)" in german[0]
+    mixed, plain = worker.replace("Bob@Example.com")[0], worker.replace("bob@example.com")[0]
+    assert mixed.lower() == plain and mixed != plain and back.replace(mixed)[0] == "Bob@Example.com"
+
+
+def test_a_session_without_a_key_has_one_of_its_own(spark):
+    one = pseudonyms.session_key(spark)
+    assert len(one) == 32 and one == pseudonyms.session_key(spark)
+
+
 @pytest.mark.parametrize("chunk,rows", [(1 << 20, 8192), (23, 17)])
 def test_near_duplicates_by_brute_force(spark, texts, monkeypatch, chunk, rows):
     monkeypatch.setattr(_tiles, "CHUNK", chunk)

@@ -29,7 +29,7 @@ def test_stages_and_run(spark, tmp_path):
         if root == before:
             break
     rows = {k: rows[k] for i, k in enumerate(ids) if root[i] == i}
-    worker = pseudonyms.Pseudonymiser(pseudonyms.DEMO_KEY)
+    worker = pseudonyms.Pseudonymiser(pseudonyms.session_key(spark))
     for r in rows.values():
         r["text"] = worker.replace(r["text"])[0]
         r["n_chars"] = len(r["text"])

@@ -19,9 +19,9 @@ from tidemark.checkpoint import materialise
 from tidemark.llm._frames import map_frames
 from tidemark.llm._text import U64
 
-#: Rows of a chunk: at most 90 bytes each are broadcast, so 94 MB whatever the corpus; and rows that a task compares with it.
-CHUNK, ROWS = 1 << 20, 8192
-TILE, WIDE = 128, 2048
+#: Rows of a chunk: at most about 90 bytes each are broadcast, so 47 MB whatever the corpus; and rows that a task compares with it.
+CHUNK, ROWS = 1 << 19, 8192
+TILE, WIDE = 16, 4096
 
 
 class Side:
@@ -34,7 +34,14 @@ class Side:
         self.copies = frame.copies.to_numpy()[order].astype(np.int64)
         self.words = np.stack([frame[w].to_numpy(np.int64)[order] for w in words], axis=1).view(U64)
         self.more = {m: frame[m].to_numpy()[order] for m in more}
-        self.columns = np.ascontiguousarray(self.words.T)
+        self._columns: np.ndarray | None = None
+
+    @property
+    def columns(self) -> np.ndarray:
+        """``words`` column by column; made where it is needed and not sent."""
+        if self._columns is None:
+            self._columns = np.ascontiguousarray(self.words.T)
+        return self._columns
 
 
 def near_in_tiles(one: Side, two: Side, reach: int, same: bool, test: tuple[int, ...], limit: int, tile: int = TILE, wide: int = WIDE) -> Iterator[tuple[np.ndarray, np.ndarray]]:

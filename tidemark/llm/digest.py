@@ -154,12 +154,13 @@ def fingerprint(docs: DataFrame, bound: int = 20, id_col: str = "doc_id", text_c
     all_ = materialise(map_frames(work, _digest_frames, shape), "digests")
     named = all_.where("digest IS NOT NULL AND id IS NOT NULL").dropDuplicates(["digest", "id"])
     same = named.groupBy("digest").agg(F.min("id").alias("least"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in (*_HEAD, *_WORDS)])
-    same = materialise(same.withColumnsRenamed({"digest": "id", "length": "size"}), "distinct-digests")
-    found = compare_all(same, _WORDS, ["q1", "q2", "least"], 1, _compare(bound), f"a string, near bigint, score bigint, nearest {kind}", "near-digests")
+    # stored numbers stand for digests, which are longer
+    same = materialise(same.withColumnRenamed("length", "size").withColumn("id", F.monotonically_increasing_id()), "distinct-digests")
+    found = compare_all(same.drop("digest"), _WORDS, ["q1", "q2", "least"], 1, _compare(bound), f"a bigint, near bigint, score bigint, nearest {kind}", "near-digests")
     summed = found.groupBy("a").agg(F.sum("near").alias("near"), F.min(F.struct("score", "nearest")).alias("best"))
-    copied = same.where("copies > 1").select(F.col("id").alias("digest"), "least")
+    copied = same.where("copies > 1").select("digest", "least")
     second = named.select("digest", "id").join(copied, "digest").where(F.col("id") != F.col("least")).groupBy("digest").agg(F.min("id").alias("second"))
-    base = same.select(F.col("id").alias("digest"), "least", "copies").join(summed.withColumnRenamed("a", "digest"), "digest", "left").join(second, "digest", "left")
+    base = same.select("id", "digest", "least", "copies").join(summed.withColumnRenamed("a", "id"), "id", "left").drop("id").join(second, "digest", "left")
     joined = all_.select("id", "digest").join(base, "digest", "left")
     known = F.col("id").isNotNull() & F.col("digest").isNotNull()
     twin = F.when(F.col("copies") > 1, F.when(F.col("id") == F.col("least"), F.col("second")).otherwise(F.col("least")))

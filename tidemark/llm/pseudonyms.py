@@ -6,13 +6,14 @@ import datetime as dt
 import hashlib
 import math
 import re
+import secrets
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: For tests and demonstrations; production passes its own secret.
-DEMO_KEY = b"tidemark demonstration key"
+#: Where a session keeps its secret, in hexadecimal; see ``session_key``.
+KEY_SETTING = "spark.tidemark.pseudonymKey"
 _FIRST_DAY, _LAST_DAY = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 _CLASS = {c: cls for cls in (_LOWER, _UPPER, _DIGIT) for c in cls}
@@ -26,8 +27,7 @@ PATTERN = re.compile(
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30}(?![A-Za-z0-9]))
   | (?P<ip>(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9A-Za-z_]|\.[0-9]))
   | (?P<date>(?<![0-9A-Za-z./-])(?:[0-9]{4}(?P<s1>[-/.])[0-9]{1,2}(?P=s1)[0-9]{1,2}|[0-9]{1,2}(?P<s2>[-/.])[0-9]{1,2}(?P=s2)[0-9]{4})(?![0-9A-Za-z]|[./-][0-9]))
-  | (?P<phone>(?<![\w+])\+1[ .-]?\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9A-Za-z])
-      |(?<![\w+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9A-Za-z])
+  | (?P<phone>(?<![\w+])\+[1-9](?:(?:[ .-]?\([0-9]{1,4}\)[ .-]?|[ .-]?)[0-9]){7,15}(?![0-9A-Za-z])
       |(?<![\w(+])\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![0-9A-Za-z]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
   | (?P<card>(?:(?<![0-9A-Za-z-])|(?<=[0-9]-))[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))
@@ -38,6 +38,8 @@ PATTERN = re.compile(
 KINDS = {m[1]: re.compile(m[0], re.X) for m in re.finditer(r"\(\?P<(email|secret|iban|ip|date|phone|ssn|card)>.*?(?=\n  \||\n    $)", PATTERN.pattern, re.S)}
 #: What may stand between the groups of kinds that can take in what follows them.
 _BETWEEN = {"iban": " ", "card": " -", "phone": " .-"}
+#: Country codes of two digits; +1 and +7 stand alone, all others have three.
+_TWO_DIGIT_CODES = frozenset(map(str, (20, 27, *range(30, 35), 36, 39, 40, 41, *range(43, 50), *range(51, 59), *range(60, 67), 81, 82, 84, 86, *range(90, 96), 98)))
 #: Cards as they are commonly written.
 _CARD = re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5}|[0-9]{13,19})(?![0-9A-Za-z])")
 #: How often a checked number is permuted on where its image and what stands beside it would read as another value.
@@ -122,8 +124,10 @@ class Pseudonymiser:
         return "".join(next(image) if c in _DIGIT else c for c in text)
 
     def email(self, text: str) -> str:
+        """Addresses that differ in capitals only have one pseudonym, in the capitals of each."""
         host, _, top = text.rpartition(".")
-        return f"{self._chars('email', host)}.{top}"
+        image = self._chars("email", host.lower())
+        return "".join(i.upper() if c in _UPPER else i for c, i in zip(host, image)) + f".{top}"
 
     def secret(self, text: str) -> str:
         if text[:4] in ("AKIA", "ASIA") and len(text) == 20:
@@ -163,30 +167,36 @@ class Pseudonymiser:
             return None
         if not _FIRST_DAY <= day <= _LAST_DAY:
             return None
-        late = order == "dmy" and mark != "."  # only days after the 12th read as day first
+        # with slashes or hyphens only days after the 12th read as day first, so they stay among themselves, however a date is written
+        late = dt.date.fromordinal(day).day > 12
 
         def allowed(v: int) -> bool:
-            return not late or dt.date.fromordinal(v + _FIRST_DAY).day > 12
+            return (dt.date.fromordinal(v + _FIRST_DAY).day > 12) == late
 
         image = dt.date.fromordinal(_FIRST_DAY + Feistel(self.key, "date", _LAST_DAY - _FIRST_DAY + 1).walk(day - _FIRST_DAY, allowed, self.back))
         fields = {"y": f"{image.year:04d}", "m": f"{image.month:02d}", "d": f"{image.day:02d}"}
         return mark.join(fields[c] for c in order)
 
     def phone(self, text: str) -> str | None:
-        digits = sum(c in _DIGIT for c in text)
-        if not 8 <= digits <= 15:
+        """A number is its country code and the digits after it, whatever stands between them; a (0) in it isn't dialled and stays."""
+        spots = [k for k, c in enumerate(text) if c in _DIGIT]
+        if not 8 <= len(spots) <= 15:
             return None
-        lead = re.match(r"\+(?:1(?=\D)|[0-9]{1,3}(?=\D)|1(?=[0-9]{10}$)|[0-9]{2})", text)
-        code = lead.group() if lead else ""
-        rest = text[len(code) :]
-        american = code in ("", "+1") and sum(c in _DIGIT for c in rest) == 10
-        plain = "".join(c for c in rest if c in _DIGIT)
-        valid = lambda d: d[0] > "1" and d[3] > "1"
-        if american and valid(plain):
-            return code + self._digits("phone+1", rest, valid)
-        if not lead:
+        if text[0] == "+":
+            lead = "".join(text[k] for k in spots[:3])
+            code = lead[0] if lead[0] in "17" else lead[:2] if lead[:2] in _TWO_DIGIT_CODES else lead
+            zero = text.find("(0)")
+            spots = [k for k in spots[len(code) :] if k != zero + 1 or zero < 0]
+        else:
+            code = "1"
+        digits = "".join(text[k] for k in spots)
+        american = lambda d: code == "1" and len(d) == 10 and d[0] > "1" and d[3] > "1"
+        if text[0] != "+" and not american(digits):
             return None
-        return code + self._digits("phone" + code, rest, (lambda d: not valid(d)) if american else lambda d: True)
+        kind, out = american(digits), list(text)
+        for k, c in zip(spots, self._chars(f"phone+{code}", digits, lambda d: american(d) == kind)):
+            out[k] = c
+        return "".join(out)
 
     def ssn(self, text: str) -> str | None:
         valid = lambda d: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
@@ -265,9 +275,18 @@ class Pseudonymiser:
         return put(images), len(found)
 
 
-def pseudonymise(
-    docs: DataFrame, key: bytes = DEMO_KEY, back: bool = False, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False
-) -> DataFrame:
+def session_key(spark: SparkSession) -> bytes:
+    """The secret of the setting KEY_SETTING. Where it isn't set, a random one that lasts as long as the session, so that nobody can undo its pseudonyms."""
+    named = spark.conf.get(KEY_SETTING, None)
+    if named:
+        return bytes.fromhex(named)
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tidemark_key"):
+        sc._tidemark_key = secrets.token_bytes(32)
+    return sc._tidemark_key
+
+
+def pseudonymise(docs: DataFrame, key: bytes, back: bool = False, id_col: str = "doc_id", text_col: str = "text", keep_columns: bool = False) -> DataFrame:
     """Replaces personal values in texts by other valid values of the same format, by a keyed permutation.
 
     Kinds: e-mail addresses; card numbers (Luhn), IBANs (mod 97), social security numbers,
@@ -275,8 +294,8 @@ def pseudonymise(
     access keys and named secrets. Where a candidate doesn't validate, shorter ones that end
     between groups, the other kinds and later starts are tried; numbers of which nothing
     validates stay. The permutation depends on key, kind and shape only, so a value has the
-    same pseudonym in every document, two values never share one, and ``back=True`` with the
-    key restores the texts. Only a card or IBAN whose pseudonym would run together with what
+    same pseudonym in every document, however a date, number or address of it is written; two
+    values never share one, and ``back=True`` with the key restores the texts. Only a card or IBAN whose pseudonym would run together with what
     stands beside it is permuted on there.
     (Dates are written back with two-digit months and days.)
 
@@ -315,4 +334,4 @@ def pseudonymise(
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pseudonymise(spark.read.parquet(f"{sf_dir}/documents.parquet"), session_key(spark))

@@ -41,12 +41,25 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert not out[0].kept and out[99].kept and out[99].n_removed == 0
 
 
-def test_salted_join_gives_the_same(spark, docs, monkeypatch):
+def test_joined_lines_give_the_same(spark, docs, monkeypatch):
     one = sorted(map(repr, line_frequency.filter_frequent_lines(docs, min_docs=2).collect()))
     monkeypatch.setattr(line_frequency, "BROADCAST_ENTRIES", -1)
     assert sorted(map(repr, line_frequency.filter_frequent_lines(docs, min_docs=2).collect())) == one
 
 
+def test_blanks_of_any_kind_are_not_kept(spark):
+    rows = [(k, t, "h") for k, t in enumerate(("\t", "\r", "  \n\t", "\f \x0b", "\u00a0", "x\t"))]
+    out = {r.doc_id: r.kept for r in line_frequency.filter_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert out == {0: False, 1: False, 2: False, 3: False, 4: True, 5: True}
+
+
+def test_a_line_in_many_documents_is_frequent_however_large_the_host(spark, monkeypatch):
+    monkeypatch.setattr(line_frequency, "MOST_DOCS", 15)
+    rows = [(k, (f"own {k}\nlicence line" if k < 16 else f"own {k}\nrarer line" if k < 30 else f"own {k}"), "h") for k in range(3000)]
+    out = line_frequency.filter_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {r.doc_id for r in out if r.n_removed} == set(range(16))
+
+
 def _sentences(n, seed):
     rnd = random.Random(seed)
     return [f"w{rnd.randrange(30000)}" for _ in range(n)]
@@ -610,6 +623,21 @@ def test_rare_templates_of_a_large_host_go(spark):
     assert sum(n for x, n in lines.items() if x.startswith("Para")) == sum(1 + k % 60 for k in range(1200))
 
 
+def test_balancing_says_what_it_cannot_meet(spark):
+    """One source has one language only, so equal sources and the languages' shares contradict each other."""
+    rows = [(k, "word " * 40, "s1" if k % 4 else "s2", "en" if k % 4 else "de") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    with pytest.warns(UserWarning, match="can't all be met"):
+        out = balancing.balanced_copies(df).collect()
+    assert all(r.met is False and np.isfinite(r.rate) for r in out)
+    good = balancing.balanced_copies(df, balance=()).collect()
+    assert all(r.met for r in good)
+    with pytest.raises(ValueError, match="s9"):
+        balancing.balanced_copies(df, {"s1": 1.0, "s9": 1.0})
+    same = balancing.balanced_copies(df.unionByName(df), balance=()).collect()  # ties and repeated rows
+    assert sorted(r.rate for r in same) == pytest.approx(sorted(r.rate for r in good for _ in range(2)), rel=1e-6)
+
+
 def test_query_balancing_counts_the_encoded_ids(spark, texts):
     out = balancing.op10_entropy_balancing(spark, SF).collect()
     shares = Counter()

@@ -35,7 +35,7 @@ def test_stages_and_run(spark, tmp_path):
         r["n_chars"] = len(r["text"])
     left = spark.createDataFrame([tuple(r.values()) for r in rows.values()], docs.schema)
     wanted = []
-    for r in balancing.balanced_copies(left).collect():
+    for r in balancing.balanced_ids(left).collect():
         wanted += [(r.doc_id, tuple(_bpe.encode(rows[r.doc_id]["text"]).tolist()))] * r.copies
     got = [(r.doc_id, tuple(r.ids)) for r in corpus_pipeline.run(spark, SF).collect()]
     assert sorted(got) == sorted(wanted) and got

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.checkpoint import materialise
-from tidemark.llm._bpe import DEFAULT_VOCABULARY, encode
+from tidemark.llm._bpe import DEFAULT_VOCABULARY, encoding
 
 #: Rows of the rate table that may be broadcast: about 40 bytes each, so 20 MB at most.
 BROADCAST_ROWS = 500_000
 _NULL = "\u0000null"
 #: The most that a multiplier changes in a step, and beyond which none grows: where constraints contradict each other they would grow for ever.
 STEP, MOST_TILT = 5.0, 40.0
+#: Shares may be so far from what is asked for, at most, to count as met.
+MET = 1e-6
 
 
 def _level(name: str) -> Column:
@@ -27,12 +31,12 @@ def _tilt(lam: np.ndarray) -> Column:
     return F.aggregate("on", F.lit(0.0), lambda t, i: t + F.get(table, i))
 
 
-def _dual(cells: DataFrame, first: list[int], target: np.ndarray, ridge: float, tol: float, most: int) -> np.ndarray:
+def _dual(cells: DataFrame, first: list[int], target: np.ndarray, ridge: float, tol: float, most: int) -> tuple[np.ndarray, float]:
     """Newton's method on log sum(share exp(lambda . x)) - target . lambda + ridge/2 |lambda|^2.
 
     ``cells`` has share and on. The sums are Spark aggregates over cells, one job for
     each try, scaled by the largest term of the try before. No multiplier changes by
-    more than STEP at once, nor grows beyond MOST_TILT.
+    more than STEP at once, nor grows beyond MOST_TILT. Also returns how far the farthest share is from its target.
     """
     k = len(target)
 
@@ -65,7 +69,7 @@ def _dual(cells: DataFrame, first: list[int], target: np.ndarray, ridge: float,
             break
         lam = lam + size * step
         value, p, cross, top = tried
-    return lam
+    return lam, float(np.abs(p - target).max())
 
 
 def mixing_rates(
@@ -79,7 +83,12 @@ def mixing_rates(
     tol: float = 1e-8,
     iterations: int = 60,
 ) -> DataFrame:
-    """The table (source, each of ``balance``, rate): how often a document of each cell should be seen."""
+    """The table (source, each of ``balance``, rate, met): how often a document of each cell should be seen.
+
+    ``met`` is whether all shares are within MET of what is asked for; if not, there is a
+    warning too. A target for a source that has no tokens is an error. Null columns are
+    values of their own, null texts have no tokens, ties play no part; without any tokens, the table is empty.
+    """
     spark = docs.sparkSession
     axes = [source_col, *balance]
     names = [f"axis{k}" for k in range(len(axes))]
@@ -92,24 +101,28 @@ def mixing_rates(
     cells = materialise(cells.withColumn("cell", F.concat_ws("\u0001", *names)), "mixing-cells")
     total = cells.agg(F.sum("tokens")).first()[0]
     if not total:
-        return cells.select(*names, F.lit(0.0).alias("rate"))
+        return cells.select(*names, F.lit(0.0).alias("rate"), F.lit(True).alias("met"))
     shared = cells.select("cell", *names, (F.col("tokens") / F.lit(total)).alias("share"))
     marks = shared.select("cell", "share", F.posexplode(F.array(*names)).alias("axis", "value"))
     # one row for each value of each constraint column; these are the unknowns of the dual
     values = [tuple(r) for r in marks.groupBy("axis", "value").agg(F.sum("share").alias("share")).orderBy("axis", "value").collect()]
     target = np.array([s for _, _, s in values])
     mine = [k for k, (axis, _, _) in enumerate(values) if axis == 0]
+    if targets is not None and (absent := set(wanted) - {values[k][1] for k in mine}):
+        raise ValueError(f"no tokens in sources {sorted(absent)}")
     wish = np.array([1.0 if targets is None else float(targets[values[k][1]]) for k in mine])
     target[mine] = wish / wish.sum()
     numbers = spark.createDataFrame([(k, axis, value) for k, (axis, value, _) in enumerate(values)], "level int, axis int, value string")
     levels = marks.select("cell", "axis", "value").join(numbers, ["axis", "value"]).groupBy("cell").agg(F.collect_list("level").alias("on"))
     coded = materialise(cells.join(levels, "cell").select(*names, "tokens", (F.col("tokens") / F.lit(total)).alias("share"), "on"), "mixing-levels")
-    lam = _dual(coded.select("share", "on"), mine, target, ridge, tol, iterations)
+    lam, off = _dual(coded.select("share", "on"), mine, target, ridge, tol, iterations)
+    if off > MET:
+        warnings.warn(f"the constraints can't all be met: a share is off by {off:.3g}", stacklevel=2)
     tilted = coded.withColumn("tilt", F.exp(_tilt(lam)))
     z = tilted.agg(F.sum(F.col("tokens") * F.col("tilt"))).first()[0]
     scale = (total if budget is None else budget) / z
     # ten digits, so that the order in which sums were added doesn't show
-    return materialise(tilted.select(*names, F.round(F.col("tilt") * F.lit(scale), 10).alias("rate")), "mixing-rates")
+    return materialise(tilted.select(*names, F.round(F.col("tilt") * F.lit(scale), 10).alias("rate"), F.lit(off <= MET).alias("met")), "mixing-rates")
 
 
 def balanced_copies(
@@ -131,16 +144,17 @@ def balanced_copies(
     taken: a document's rate is exp of a sum of multipliers, found by Newton's method on
     the convex dual, scaled to ``budget`` tokens (those of the corpus where not given).
     Copies are floor(rate + u), with u in [0, 1) a hash of doc_id, so their mean is the rate.
-    ``tokens`` is a column; without it a token is four bytes of UTF-8. Where the
-    constraints contradict each other, multipliers stop at e**40 and what is met is a compromise.
+    ``tokens`` is a column; without it a token is four bytes of UTF-8 (``balanced_ids`` counts real ones). Where the
+    constraints contradict each other, multipliers stop at e**40, what is met is a compromise, ``met`` is false and a warning says so.
     The dual has one unknown for each source and balance value, solved on the driver:
     meant for thousands of sources, not millions.
 
-    Returns doc_id, source, tokens, rate, copies for each row; with ``keep_columns`` the
+    Returns doc_id, source, tokens, rate, met, copies for each row; with ``keep_columns`` the
     input's columns, each row as often as it has copies.
 
     - null or empty text: 0 tokens, rate 0, 0 copies. A source not among the targets: rate 0.
     - null source or balance value: a value of its own. Null doc_id: u is that of the null.
+    - a target for a source without tokens: an error. met is null where there are no tokens of that source and balance value.
     - repeated rows: each counts, all with the same u. Empty table: empty result.
     - other columns play no part, whatever their names.
     """
@@ -156,9 +170,9 @@ def balanced_copies(
     joined = packed.join(F.broadcast(rates) if few else rates, names, "left")
     rate = F.when(F.col("tokens") > 0, F.coalesce("rate", F.lit(0.0))).otherwise(F.lit(0.0))
     u = F.pmod(F.xxhash64(F.col("row")[id_col], F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    done = joined.select("row", "tokens", rate.alias("rate")).withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
+    done = joined.select("row", "tokens", rate.alias("rate"), "met").withColumn("copies", F.floor(F.col("rate") + u).cast("int"))
     if not keep_columns:
-        return done.select(F.col("row")[id_col].alias("doc_id"), F.col("row")[source_col].alias("source"), "tokens", "rate", "copies")
+        return done.select(F.col("row")[id_col].alias("doc_id"), F.col("row")[source_col].alias("source"), "tokens", "rate", "met", "copies")
     return done.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
@@ -167,7 +181,8 @@ def balanced_ids(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, text_col
 
     @F.pandas_udf("bigint")
     def counted(texts: pd.Series) -> pd.Series:
-        return pd.Series([0 if t is None else len(encode(t, vocabulary)) for t in texts], dtype="int64")
+        coder = encoding(vocabulary)
+        return pd.Series([0 if t is None else len(coder.encode_ordinary(t)) for t in texts], dtype="int64")
 
     name = "n_ids"
     while name in docs.columns:

@@ -4,36 +4,48 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.checkpoint import materialise
-from tidemark.llm.balancing import balanced_copies
+from tidemark.checkpoint import discard, materialise
+from tidemark.llm.balancing import balanced_ids
 from tidemark.llm.chunked_bpe import encode_chunked
 from tidemark.llm.line_frequency import filter_frequent_lines
-from tidemark.llm.pseudonyms import pseudonymise
+from tidemark.llm.pseudonyms import pseudonymise, session_key
 from tidemark.llm.simhash import drop_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that too many documents of a source share go; documents that they made up go with them."""
+    """Lines that too many documents of a source share go; documents that they made up go with them.
+
+    Null, empty and blank texts go. A null source is a source; null ids and repeated rows stay, an empty table stays empty.
+    """
     return filter_frequent_lines(docs, keep_columns=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the least id stays."""
+    """Of each group of near-duplicates, the document with the least id stays.
+
+    Of rows with one id, one stays. Rows with a null id, or without words, all stay. An empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values give way to pseudonyms of their format."""
-    return pseudonymise(docs, keep_columns=True)
+    """Personal values give way to pseudonyms of their format, by the secret of ``spark.tidemark.pseudonymKey`` or one of this session.
+
+    Null and empty texts stay as they are; repeated rows, null ids and an empty table too.
+    """
+    return pseudonymise(docs, session_key(spark), keep_columns=True)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that all sources have equal shares of the tokens."""
-    return balanced_copies(docs, keep_columns=True)
+    """Documents are repeated or left out so that all sources have equal shares of the token ids that ``bpe`` gives.
+
+    Null and empty texts have no tokens and go. A null source or language is a value of its own; an empty table stays empty.
+    """
+    return balanced_ids(docs, keep_columns=True)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
+    """Token ids of each document: doc_id, n_tokens, ids. A null text has null ids, an empty one none; each row gives a row."""
     return encode_chunked(docs)
 
 
@@ -44,8 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what each returns is written as Parquet in the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
+    """All stages over ``documents``; what each returns is written as Parquet in the shared folder and read by the next, then deleted."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if before is not None:
+            discard(before)
+        before = docs
+    return docs

@@ -293,6 +293,60 @@ def test_language_accuracy(spark):
     assert 0 < np.mean(model.weights != 0) < 1  # sparse
 
 
+def test_ftrl_and_idf_by_brute_force(spark):
+    """The model of plain Python loops over dictionaries: the same frequencies, weights and probabilities."""
+    rnd = random.Random(14)
+    letters = {"aa": "abcde", "bb": "cdefg"}
+    rows = [(k, " ".join("".join(rnd.choice(letters[lang]) for _ in range(4)) for _ in range(6)), lang) for k in range(8) for lang in ("aa", "bb")][:9]
+    rows = [(k, t, lang) for k, (_, t, lang) in enumerate(rows)]  # fewer than ten: all are trained on
+    df = spark.createDataFrame([*rows, (90, None, "aa"), (91, "", "bb"), (92, "unlabelled", None)], "doc_id long, text string, lang string")
+    odd, wrap = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D), 2**32
+
+    def grams(text):
+        out = Counter()
+        for n in (1, 2, 3):
+            for i in range(len(text) - n + 1):
+                h = 0
+                for c in text[i : i + n]:
+                    h = (h * odd[0] + ord(c) + 1) % wrap
+                h = h * (odd[1] + 2 * (n - 1)) % wrap
+                h ^= h >> 15
+                out[h * odd[2] % wrap >> 17] += 1
+        return out
+
+    docs = [t for _, t, _ in rows] + ["unlabelled"]
+    df_brute = Counter(g for t in docs for g in grams(t))
+    got, total = language_id.document_frequencies(df)
+    assert total == len(docs) and {k: int(v) for k, v in enumerate(got) if v} == dict(df_brute)
+    idf = {g: math.log((1 + len(docs)) / (1 + n)) + 1 for g, n in df_brute.items()}
+
+    def weighted(text):
+        x = {g: (1 + math.log(n)) * idf[g] for g, n in grams(text).items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {g: v / norm for g, v in x.items()} | {-1: 1.0}
+
+    model = language_id.train(df)
+    ranked = [r.doc_id for r in df.where("length(text) > 0 AND lang IS NOT NULL").selectExpr("doc_id", "text", "pmod(xxhash64(doc_id, 5), 1L << 52) AS rank").orderBy("rank").collect()]
+    z, n, order = defaultdict(float), defaultdict(float), np.random.default_rng(5)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 1.0
+    weight = lambda k: 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+    for _ in range(2):
+        for k in order.permutation(np.arange(len(ranked))):
+            _, text, lang = rows[ranked[k]]
+            x = weighted(text)
+            logits = [sum(v * weight((g, c)) for g, v in x.items()) for c in ("aa", "bb")]
+            p = [math.exp(v - max(logits)) for v in logits]
+            p = [v / sum(p) for v in p]
+            for j, c in enumerate(("aa", "bb")):
+                for g, v in x.items():
+                    w, grad = weight((g, c)), v * (p[j] - (c == lang))
+                    z[g, c] += grad - (math.sqrt(n[g, c] + grad * grad) - math.sqrt(n[g, c])) / alpha * w
+                    n[g, c] += grad * grad
+    for (g, c) in list(z):
+        assert model.weights[language_id.BUCKETS if g < 0 else g, ("aa", "bb").index(c)] == pytest.approx(weight((g, c)), abs=1e-5)
+    assert np.count_nonzero(model.weights) == sum(weight(k) != 0 for k in list(z))
+
+
 def test_bpe_equals_whole_encoding(spark, docs, texts, monkeypatch):
     wanted = {k: _bpe.encode(t).tolist() for k, t in texts.items()}
     out = chunked_bpe.op8_chunked_bpe(spark, SF)
@@ -333,6 +387,19 @@ def test_style_tree(spark):
             assert out[k].text.split("\n") == whole and out[k].n_removed == 0
 
 
+def test_copies_of_a_page_are_not_furniture(spark, monkeypatch):
+    rows = [(k, "http://copies.example/", "<div><p>An article of its own.</p><p>With two paragraphs.</p></div>") for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (style_tree.BROADCAST_COPIES, -1):
+        monkeypatch.setattr(style_tree, "BROADCAST_COPIES", most)
+        assert {(r.text, r.n_removed) for r in style_tree.extract(df).collect()} == {("An article of its own.\nWith two paragraphs.", 0)}
+    mixed = spark.createDataFrame(_site() + [(1000 + k, "http://site.example/c", _site()[4][2]) for k in range(20)], "page_id long, url string, html string")
+    one = {r.page_id: r.text for r in style_tree.extract(mixed).collect()}
+    assert one[4] == one[1000] == {r.page_id: r.text for r in style_tree.extract(spark.createDataFrame(_site(), "page_id long, url string, html string")).collect()}[4]
+    monkeypatch.setattr(style_tree, "BROADCAST_NODES", -1)
+    assert {r.page_id: r.text for r in style_tree.extract(mixed).collect()} == one
+
+
 def test_style_tree_importance_by_hand(spark):
     rows = _site()[:30]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("'h' AS host", "html")

@@ -26,12 +26,13 @@ BROADCAST_HASHES = 4_000_000
 
 @dataclass
 class Chunks:
-    """Chunks of a batch: document, first and past-the-last byte in that document's UTF-8, hash; document d owns ``first[d]:first[d+1]``."""
+    """Chunks of a batch: document, first and past-the-last byte in that document's UTF-8, both halves of a 128-bit hash; document d owns ``first[d]:first[d+1]``."""
 
     raw: list[bytes]
     start: np.ndarray
     end: np.ndarray
     hashes: np.ndarray
+    more: np.ndarray
     first: np.ndarray
 
 
@@ -68,8 +69,9 @@ def cut_chunks(texts: list[str | None]) -> Chunks:
     first = np.searchsorted(start, base)
     owner = np.repeat(np.arange(len(raw)), np.diff(first))
     begin, end = start - base[owner], ends - base[owner]
-    hashed = np.fromiter((xxhash.xxh3_64_intdigest(raw[d][p:q]) for d, p, q in zip(owner.tolist(), begin.tolist(), end.tolist())), U64, len(owner))
-    return Chunks(raw, begin, end, hashed, first)
+    digests = b"".join([xxhash.xxh3_128_digest(raw[d][p:q]) for d, p, q in zip(owner.tolist(), begin.tolist(), end.tolist())])
+    hashed = np.frombuffer(digests, U64).reshape(-1, 2)
+    return Chunks(raw, begin, end, np.ascontiguousarray(hashed[:, 1]), np.ascontiguousarray(hashed[:, 0]), first)
 
 
 def safe_points(data: np.ndarray) -> np.ndarray:
@@ -129,7 +131,7 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
 
     A rolling hash cuts texts into chunks. Chunks that occur more than once in the table
     are encoded once; texts without any are encoded where they are read, and don't move.
-    The others are put together from shared chunks and the runs between them, and the
+    The others are put together from shared chunks, which 128-bit hashes tell apart, and the runs between them, and the
     joins are repaired. Equal texts are put together once.
 
     Returns doc_id, n_tokens, ids for each row.
@@ -183,11 +185,10 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
                     continue
                 run = np.flatnonzero(mine | np.concatenate(([True], mine[:-1]))) + a  # runs of other chunks stay together
                 for p, q in zip(run, np.append(run[1:], b)):
-                    name = int(cut.hashes[p].view(np.int64)) if common[p] else None
-                    out.append((one, two, int(cut.start[p]), name, cut.raw[d][cut.start[p] : cut.end[q - 1]]))
-            table = pd.DataFrame(out, columns=["k1", "k2", "at", "hash", "body"])
-            table["hash"] = table["hash"].astype("Int64")
-            yield table
+                    name = (int(cut.hashes[p].view(np.int64)), int(cut.more[p].view(np.int64))) if common[p] else (None, None)
+                    out.append((one, two, int(cut.start[p]), *name, cut.raw[d][cut.start[p] : cut.end[q - 1]]))
+            table = pd.DataFrame(out, columns=["k1", "k2", "at", "hash", "more", "body"])
+            yield table.astype({"hash": "Int64", "more": "Int64"})
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -215,15 +216,15 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
 
     shape = f"doc_id {kind}, n_tokens int, ids array<int>"
     keyed = work.where(F.length("text") > 0).select("id", F.xxhash64("text").alias("k1"), F.hash("text", F.length("text")).alias("k2"), "text")
-    cut = keyed.select("k1", "k2", "text").mapInPandas(pieces, "k1 bigint, k2 int, at bigint, hash bigint, body binary")
-    cut = materialise(cut.groupBy("k1", "k2", "at").agg(F.first("hash").alias("hash"), F.first("body").alias("body")), "chunks")
+    cut = keyed.select("k1", "k2", "text").mapInPandas(pieces, "k1 bigint, k2 int, at bigint, hash bigint, more bigint, body binary")
+    cut = materialise(cut.groupBy("k1", "k2", "at").agg(F.first("hash").alias("hash"), F.first("more").alias("more"), F.first("body").alias("body")), "chunks")
     single = cut.where("hash IS NULL")
     many = cut.where("hash IS NOT NULL")
     if not small:
         once = many.join(shared, "hash", "left_anti")
         single, many = single.unionByName(once.select(single.columns)), many.join(shared, "hash", "left_semi")
-    book = many.groupBy("hash").agg(F.first("body").alias("body")).mapInPandas(encoded, "hash bigint, body binary")
-    placed = many.select("k1", "k2", "at", "hash").join(book, "hash").select("k1", "k2", "at", "body")
+    book = many.groupBy("hash", "more").agg(F.first("body").alias("body")).mapInPandas(encoded, "hash bigint, more bigint, body binary")
+    placed = many.select("k1", "k2", "at", "hash", "more").join(book, ["hash", "more"]).select("k1", "k2", "at", "body")
     rest = single.select("k1", "k2", "at", "body").mapInPandas(encoded, "k1 bigint, k2 int, at bigint, body binary")
     lists = placed.union(rest).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("parts"))
     named = lists.join(keyed.select("id", "k1", "k2"), ["k1", "k2"]).select("id", "k1", "k2", "parts").mapInArrow(together, shape)

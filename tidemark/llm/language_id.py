@@ -18,6 +18,8 @@ ORDERS, BUCKET_BITS = 3, 15
 BUCKETS = 1 << BUCKET_BITS
 #: The classifier is fitted on at most about so many labelled documents.
 SAMPLE = 3000
+#: More labels than this are an error: the model that is sent to all workers has 4 bytes for each feature and label, 34 MB at most.
+MOST_LANGUAGES = 256
 _ODD = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 
 
@@ -33,15 +35,20 @@ def hashed_ngrams(text: str) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint32)
 
 
-def counts(text: str) -> np.ndarray:
-    return np.bincount(hashed_ngrams(text), minlength=BUCKETS)
+def counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a text, in order, and how often each occurs."""
+    found = hashed_ngrams(text)
+    if len(found) < BUCKETS // 8:  # sorting a short text is less than going through all features
+        return np.unique(found, return_counts=True)
+    c = np.bincount(found, minlength=BUCKETS)
+    on = np.flatnonzero(c)
+    return on, c[on]
 
 
 def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Features and their weights (1 + ln tf) idf, of length 1."""
-    c = counts(text)
-    on = np.flatnonzero(c)
-    x = (1 + np.log(c[on])) * idf[on]
+    on, c = counts(text)
+    x = (1 + np.log(c)) * idf[on]
     norm = np.sqrt(x @ x)
     return on, x / norm if norm else x
 
@@ -97,7 +104,10 @@ class LanguageModel:
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """In how many documents each feature occurs, and how many there are; over all documents."""
+    """In how many documents each feature occurs, and how many there are; over all documents.
+
+    Null and empty texts don't count, repeated rows do; an empty table gives zeros. Other columns play no part.
+    """
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen, n = np.zeros(BUCKETS, np.int64), 0
@@ -122,7 +132,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
 def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 2, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> LanguageModel | None:
     """Fits on about ``sample`` labelled documents, chosen by a hash of doc_id; a fifth of them sets the temperature.
 
-    Document frequencies are those of all documents. None where nothing is labelled.
+    Document frequencies are those of all documents. None where nothing is labelled (an
+    empty table, null labels, null or empty texts). Ties of the hash are taken by id and
+    text, repeated rows count; other columns play no part.
     """
     df, total = document_frequencies(docs, text_col)
     labelled = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).where((F.length("text") > 0) & F.col("lang").isNotNull())
@@ -135,6 +147,8 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 2, seed: int = 5,
     if not len(rows):
         return None
     languages = sorted(rows.lang.unique())
+    if len(languages) > MOST_LANGUAGES:
+        raise ValueError(f"{len(languages)} labels; {MOST_LANGUAGES} at most")
     idf = np.log((1 + total) / (1 + df)) + 1
     vectors = [vector(t, idf) for t in rows.text]
     labels = np.array([languages.index(v) for v in rows.lang])
@@ -143,7 +157,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 2, seed: int = 5,
     for _ in range(epochs):
         for k in random.permutation(np.flatnonzero(~held)):
             learner.learn(*vectors[k], labels[k])
-    model = LanguageModel(languages, idf, learner.weights(), 1.0)
+    model = LanguageModel(languages, idf, learner.weights().astype(np.float32), 1.0)
     if held.any():
         logits = np.array([vectors[k][1] @ model.weights[vectors[k][0]] + model.weights[BUCKETS] for k in np.flatnonzero(held)])
         model.temperature = temperature(logits, labels[held])
@@ -158,7 +172,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, id_col: str = "doc_id
     - other columns play no part, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    known = docs.sparkSession.sparkContext.broadcast(model)  # 2**15 features, whatever the data
+    known = docs.sparkSession.sparkContext.broadcast(model)  # 2**15 features and MOST_LANGUAGES labels at most
 
     def predict(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = known.value

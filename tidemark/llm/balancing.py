@@ -135,6 +135,7 @@ def balanced_copies(
     source_col: str = "source",
     seed: int = 17,
     keep_columns: bool = False,
+    rates: DataFrame | None = None,
 ) -> DataFrame:
     """Copies of each document so that the sources' shares of tokens meet ``targets``.
 
@@ -159,7 +160,7 @@ def balanced_copies(
     - other columns play no part, whatever their names.
     """
     axes = [source_col, *balance]
-    rates = mixing_rates(docs, targets, balance, budget, tokens, source_col)
+    rates = mixing_rates(docs, targets, balance, budget, tokens, source_col) if rates is None else rates
     few = rates.count() <= BROADCAST_ROWS
     names = [f"axis{k}" for k in range(len(axes))]
     count = F.coalesce((F.ceil(F.octet_length(F.col("text")) / 4) if tokens is None else tokens).cast("bigint"), F.lit(0).cast("bigint"))
@@ -177,7 +178,10 @@ def balanced_copies(
 
 
 def balanced_ids(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, text_col: str = "text", keep_columns: bool = False, **how) -> DataFrame:
-    """``balanced_copies`` over the token ids that the vocabulary gives; each text is encoded once, to be counted."""
+    """``balanced_copies`` over the token ids that the vocabulary gives; each text is encoded once, to be counted.
+
+    With ``keep_columns`` only the sums by source and balance value are kept of the counts, and no text is stored.
+    """
 
     @F.pandas_udf("bigint")
     def counted(texts: pd.Series) -> pd.Series:
@@ -188,9 +192,12 @@ def balanced_ids(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, text_col
     while name in docs.columns:
         name += "_"
     work = docs.withColumn(name, counted(F.col(text_col)))
-    sized = materialise(work if keep_columns else work.drop(text_col), "mixing-tokens")
-    out = balanced_copies(sized, tokens=F.col(name), keep_columns=keep_columns, **how)
-    return out.drop(name) if keep_columns else out
+    if keep_columns:
+        asked = {k: how[k] for k in ("targets", "balance", "budget", "source_col") if k in how}
+        some = (F.octet_length(text_col) > 0).cast("int")  # a text has ids if it has bytes
+        return balanced_copies(docs, tokens=some, keep_columns=True, rates=mixing_rates(work, tokens=F.col(name), **asked), **how)
+    sized = materialise(work.drop(text_col), "mixing-tokens")
+    return balanced_copies(sized, tokens=F.col(name), **how)
 
 
 def op10_entropy_balancing(spark: SparkSession, sf_dir: str) -> DataFrame:

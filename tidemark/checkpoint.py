@@ -6,6 +6,8 @@ intermediate tables are written as Parquet below ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -39,13 +41,30 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._tidemark_path = path
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tidemark_tables"):
+        sc._tidemark_tables = set()
+        atexit.register(clean, spark)
+    sc._tidemark_tables.add(path)
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of a session; what was built from them and isn't stored can't be read any more. Done when the session's process ends, too."""
+    tables = getattr(spark.sparkContext, "_tidemark_tables", set())
+    while tables:
+        with contextlib.suppress(Exception):  # the session may have ended already
+            _delete(spark, tables.pop())
+
+
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table from ``materialise`` that nothing needs any more."""
     path = getattr(df, "_tidemark_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+        getattr(df.sparkSession.sparkContext, "_tidemark_tables", set()).discard(path)

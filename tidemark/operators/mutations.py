@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import parse_cdx_date
+from tidemark.functions.urlkey import massage_url
+from tidemark.operators.layout import running
 from tidemark.schema import ACTIVE, MANIFEST, SPLIT_THRESHOLD
 
 #: zstd's own default.
@@ -53,17 +56,12 @@ def index_records(lines: DataFrame, collections: DataFrame, first_id: int = 0) -
     """Index rows from CDX lines (slug, line_no, and the seven fields), numbered on from ``first_id`` by slug and line.
 
     Lines without a date or an offset that can be read are left out. Numbers come from
-    counts by slug and places within it, so no step sorts all lines in one task.
+    counts by slug and places within it, both added up from ranges of lines, so no task sorts a whole collection.
     """
-    from pyspark.sql import Window
-
-    from tidemark.functions.scalars import parse_cdx_date
-    from tidemark.functions.urlkey import massage_url
-
     good = lines.join(collections.select("slug", F.col("uuid").alias("collection"), "compression", "dict_id"), "slug")
     good = good.select("*", parse_cdx_date(F.col("date")).alias("when"), F.expr("try_cast(offset AS BIGINT)").alias("at")).where("when IS NOT NULL AND at IS NOT NULL")
     sizes = good.groupBy("slug").count().select("slug", (F.coalesce(F.sum("count").over(Window.orderBy("slug").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + first_id).alias("base"))
-    placed = good.join(sizes, "slug").withColumn("place", F.row_number().over(Window.partitionBy("slug").orderBy("line_no")))
+    placed = running(good, "slug", "line_no").join(sizes, "slug").withColumnRenamed("_place", "place")
     return placed.select(
         (F.col("base") + F.col("place")).cast("bigint").alias("id"), F.lit(ACTIVE).alias("flags"), F.col("when").alias("date"), F.col("id").alias("identifier"), "collection",
         F.col("file").alias("filename"), F.col("at").alias("offset"), "type", F.col("url").alias("uri"), F.col("compression").alias("dict_type"), F.col("dict_id").cast("bigint").alias("dict_id"),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-import uuid
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,48 +13,69 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.checkpoint import materialise
-from tidemark.operators.layout import assign_files, warc_filename
+from tidemark.operators.layout import assign_files, running, warc_filename
 from tidemark.operators.render import serialise
 from tidemark.schema import SPLIT_THRESHOLD
-from tidemark.sources.cdx import FIELDS, format_line, from_records
+from tidemark.sources.cdx import FIELDS, format_line, from_records, parse_lines
 
 
-def next_file(folder: str) -> int:
-    """The number after those of the files in a collection's folder."""
+def last_file(folder: str, dict_id: int | None, compression: str | None) -> tuple[int, int]:
+    """The number of the last file of a collection's present encoding and where what its CDX lines name ends; (1, 0) where there is none.
+
+    Bytes behind that end are of a push that failed. Only the lines of that file are looked at.
+    """
+    tail = ("" if dict_id is None else rf"\.{dict_id}") + r"\.warc" + ("" if compression is None else rf"\.{compression}")
     names = os.listdir(folder) if os.path.isdir(folder) else []
-    taken = [int(n.split(".")[1]) for n in names if n.startswith("records.") and n.split(".")[1].isdigit()]
-    return max(taken, default=-1) + 1
+    taken = [(int(m[1]), n) for n in names if (m := re.fullmatch(rf"records\.([0-9]+){tail}", n))]
+    return max(taken, default=(1, ""))
+
+
+def written_to(spark, folder: str, name: str) -> int:
+    """The end of the last record that the collection's CDX lines place in a file."""
+    plain = folder.removeprefix("file://")
+    if not name or not os.path.exists(f"{plain}/index.cdx"):
+        return 0
+    lines = parse_lines(spark.read.text(f"{folder}/index.cdx").select(F.col("value").alias("line")))
+    return lines.where(F.col("file") == name).agg(F.max(F.col("offset").cast("bigint") + F.col("raw_size"))).first()[0] or 0
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes rows (filename, offset, raw), each file by one task from front to back; returns filename and size.
+    """Writes rows (filename, offset, raw), each file by one task from front to back at its offsets; returns filename and size.
 
-    A file is given its name when it is whole, so a task that is tried again, or twice at once, does no harm.
+    The same bytes go to the same places whenever a task is tried again, or twice at
+    once, so that does no harm; what a file holds before its first row's offset stays.
     """
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.makedirs(folder, exist_ok=True)
-        out = name = temporary = None
+        out = name = None
         done = []
 
         def close() -> None:
             if out:
                 done.append((name, out.tell()))
+                out.flush()
+                os.fsync(out.fileno())
                 out.close()
-                os.replace(temporary, os.path.join(folder, name))
 
         for frame in frames:
-            for n, data in zip(frame.filename, frame.raw):
+            for n, at, data in zip(frame.filename, frame.offset, frame.raw):
                 if n != name:
                     close()
-                    name, temporary = n, os.path.join(folder, f".{n}.{uuid.uuid4().hex}")
-                    out = open(temporary, "wb")
+                    name = n
+                    out = os.fdopen(os.open(os.path.join(folder, name), os.O_RDWR | os.O_CREAT, 0o644), "r+b")
+                    out.seek(int(at))
                 out.write(data)
         close()
         yield pd.DataFrame(done, columns=["filename", "size"])
 
     ordered = rows.select("filename", "offset", "raw").repartition("filename").sortWithinPartitions("filename", "offset")
-    return ordered.select("filename", "raw").mapInPandas(write, "filename string, size bigint")
+    return ordered.mapInPandas(write, "filename string, size bigint")
+
+
+def write_lines(rows: DataFrame, path: str) -> None:
+    """CDX lines of rows (record_no and the seven fields) in order, behind those that are there."""
+    rows.orderBy("record_no").select(format_line().alias("value")).write.mode("append").text(path)
 
 
 def _packed(rows: DataFrame, dictionary: bytes, level: int) -> DataFrame:
@@ -69,25 +90,47 @@ def _packed(rows: DataFrame, dictionary: bytes, level: int) -> DataFrame:
     return rows.mapInArrow(pack, rows.schema)
 
 
+def push_stored(
+    rows: DataFrame, folder: str, dict_id: int | None = None, threshold: int = SPLIT_THRESHOLD, inclusive: bool = True,
+    dictionary: bytes | None = None, level: int = 3, fresh: bool = False, index: str | None = "line",
+) -> DataFrame:
+    """Appends rows (id, raw, and a CDX line ``line``) to a collection's files: into the last one as long as they fit, then into new ones.
+
+    Returns record_no and the seven fields of the lines with their new places, and adds
+    them to ``index.cdx``. With ``fresh`` the last file isn't gone on with; with
+    ``index=None`` there are no lines, and id, filename, offset and raw_size are returned.
+    ``dictionary``: the bytes aren't encoded yet.
+    """
+    plain, spark = folder.removeprefix("file://"), rows.sparkSession
+    kind = None if dict_id is None else "zstd"
+    stored = rows if dictionary is None else _packed(rows, dictionary, level)
+    stored = materialise(stored.withColumn("raw_size", F.octet_length("raw").cast("bigint")), "pushed")
+    number, name = (1, "") if fresh else last_file(plain, dict_id, kind)
+    fill = written_to(spark, folder, name)
+    placed = assign_files(stored.withColumn("collection", F.lit("")), threshold, inclusive=inclusive, state=(number, fill, fill == 0))
+    named = warc_filename(F.col("file_no"), F.lit(dict_id).cast("bigint"), F.lit(kind).cast("string"))
+    placed = materialise(placed.select("id", named.alias("filename"), "offset"), "placed")
+    write_files(stored.join(placed, "id"), plain).write.format("noop").mode("overwrite").save()
+    both = stored.drop("raw").join(placed, "id")
+    if index is None:
+        return materialise(both.select("id", "filename", "offset", "raw_size"), "pushed-index")
+    both = running(both.withColumn("_one", F.lit(0)), "_one", "id").select(F.col("_place").alias("record_no"), index, "filename", F.col("offset").alias("_at"), F.col("raw_size").alias("_size"))
+    fields = parse_lines(both, index).select("record_no", "url", "type", "id", "date", F.col("filename").alias("file"), F.col("_at").cast("string").alias("offset"), F.col("_size").alias("raw_size"))
+    fields = materialise(fields, "pushed-index")
+    write_lines(fields, f"{folder}/index.cdx")
+    return fields
+
+
 def push(
     records: DataFrame, folder: str, dictionary: bytes | None = None, dict_id: int | None = None, threshold: int = SPLIT_THRESHOLD, level: int = 3, order: str = "id"
 ) -> DataFrame:
-    """Writes records (order, headers, body) as new files of a collection; returns order and the seven CDX fields.
+    """Appends records (order, headers, body) to a collection's files; returns record_no (1, 2, ... by ``order``) and the seven CDX fields.
 
-    Files that are there already aren't touched: numbering goes on after them. CDX lines
-    are added below ``index.cdx`` once all files are whole, so a push that fails leaves no index entries.
+    CDX lines are added below ``index.cdx`` once all files are whole, so a push that fails leaves no index entries.
     """
-    plain = folder.removeprefix("file://")
-    whole = records.select(F.col(order).alias("id"), "headers", serialise(F.col("headers"), F.col("body")).alias("raw"))
-    stored = materialise((whole if dictionary is None else _packed(whole, dictionary, level)).withColumn("raw_size", F.octet_length("raw").cast("bigint")), "pushed")
-    placed = assign_files(stored.withColumn("collection", F.lit("")), threshold)
-    number, kind = F.lit(dict_id).cast("bigint"), F.lit("zstd" if dictionary is not None else None).cast("string")
-    name = warc_filename(F.col("file_no") + next_file(plain), number, kind)
-    placed = materialise(placed.select("id", name.alias("filename"), "offset"), "placed")
-    write_files(stored.join(placed, "id"), plain).write.format("noop").mode("overwrite").save()
-    fields = from_records(stored.join(placed, "id").withColumnRenamed("filename", "path"))
-    keyed = stored.join(placed, "id").select(F.col("id").alias("_id"), F.col("filename").alias("_file"), F.col("offset").cast("string").alias("_offset"))
-    index = keyed.join(fields, (F.col("_file") == F.col("file")) & (F.col("_offset") == F.col("offset")))
-    index = materialise(index.select(F.col("_id").alias("record_no"), *FIELDS), "pushed-index")
-    index.orderBy("record_no").select(format_line().alias("value")).write.mode("append").text(f"{folder}/index.cdx")
-    return index
+    spot = records.select(
+        F.col(order).alias("record"), "headers", serialise(F.col("headers"), F.col("body")).alias("raw"),
+        F.lit(None).cast("string").alias("path"), F.lit(None).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("raw_size"),
+    )
+    fields = from_records(spot, keep={"record": "record", "raw": "raw"})
+    return push_stored(fields.select(F.col("record").alias("id"), format_line().alias("line"), "raw"), folder, dict_id, threshold, dictionary=dictionary, level=level)

@@ -36,9 +36,27 @@ def write_snapshot(df: DataFrame, path: str, partition_by: tuple[str, ...] = (),
 
 def read_snapshot(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
     """The current snapshot, or the one of a name; a reader that holds one isn't disturbed by later writes."""
-    if name is None:
-        fs, pointer = _fs(spark, f"{path}/{_POINTER}")
-        stream = fs.open(pointer)
-        name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-    return spark.read.parquet(f"{path}/{name}")
+    return spark.read.parquet(f"{path}/{name or _current(spark, path)}")
+
+
+def append_snapshot(df: DataFrame, path: str, sort_by: str | None = None) -> None:
+    """Adds rows to the current snapshot; begins one where there is none. All of them are seen, or none."""
+    fs, pointer = _fs(df.sparkSession, f"{path}/{_POINTER}")
+    if not fs.exists(pointer):
+        write_snapshot(df, path, sort_by=sort_by)
+        return
+    out = df.sortWithinPartitions(sort_by) if sort_by else df
+    out.write.mode("append").parquet(f"{path}/{_current(df.sparkSession, path)}")
+
+
+def _current(spark: SparkSession, path: str) -> str:
+    fs, pointer = _fs(spark, f"{path}/{_POINTER}")
+    stream = fs.open(pointer)
+    name = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return name
+
+
+def read_snapshots(spark: SparkSession, paths: list[str]) -> DataFrame | None:
+    """The current snapshots of several tables of one shape as one table; None where there are none."""
+    return spark.read.parquet(*[f"{p}/{_current(spark, p)}" for p in paths]) if paths else None

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import files, finding  # noqa: F401  (they register their queries)
+from tidemark.plans import files, finding, storage  # noqa: F401  (they register their queries)
 from tidemark.plans.views import QUERIES, SQL
 
 

@@ -156,6 +156,7 @@ def _render(name: str, flags: str, kind: str, data: str) -> None:
 
 _render("record_render_plain", "", "'text/html'", "body")
 _render("record_render_h", "h", "'application/warc'", _WHOLE)
+_render("record_render_r", "r", "NULL", "body")
 _render("record_render_d", "d", "'application/octet-stream'", "body")
 _render("record_render_hd", "hd", "'application/octet-stream'", _WHOLE)
 
@@ -246,8 +247,8 @@ def warc_parse_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, md5(html) AS digest FROM pages")
 def zstd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    samples = sample_records(pages.select(F.col("page_id").alias("id"), F.lit(1).alias("flags"), F.col("html").alias("body")), n=200)
-    dictionary = train_dictionary(samples, size=50_000)[1]
+    samples = sample_records(pages.select(F.col("page_id").alias("id"), F.lit(1).alias("flags"), F.col("html").alias("body")))
+    dictionary = train_dictionary(samples)[1]
     small = materialise(pages.select("page_id", compressed(F.col("html"), dictionary).alias("z")), "zstd")
     return small.select("page_id", F.md5(compressed(F.col("z"), dictionary, back=True)).alias("digest"))
 
@@ -256,7 +257,7 @@ def zstd_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuild_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All collections encoded with a new dictionary, packed anew, and read back."""
     rows = captures(spark, sf_dir)
-    dictionary = train_dictionary(sample_records(rows, n=200), size=50_000)[1]
+    dictionary = train_dictionary(sample_records(rows))[1]
     old = rows.select("id", "flags", "collection", F.col("body").cast("binary").alias("raw"), "raw_size", F.lit(None).cast("string").alias("filename"), F.lit(None).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("dict_id"), F.lit(None).cast("string").alias("dict_type"))
     fresh = materialise(rebuild(old, dictionary, 5, threshold=100_000), "rebuilt")
     return fresh.select("id", "flags", F.col("dict_id").cast("int").alias("dict_id"), F.md5(compressed(F.col("raw"), dictionary, back=True)).alias("digest"))
@@ -274,20 +275,6 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}-table").select("identifier", F.md5("body").alias("digest"))
 
 
-@query(f"WITH {CAPTURES} SELECT identifier AS id, uri AS url, md5(body) AS digest FROM captures WHERE collection = 'web-1'")
-def push_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One collection's records pushed as compressed files, then read by name and offset out of its index."""
-    from tidemark.operators.push import push
-    from tidemark.sources.repository import fetch_records
-
-    rows = captures(spark, sf_dir).where("collection = 'web-1'")
-    dictionary = train_dictionary(sample_records(rows, n=200), size=50_000)[1]
-    path = _uuid(rows, "collection")
-    index = push(_warc(rows).select("id", "headers", F.col("body").cast("binary").alias("body")), path, dictionary, 5, threshold=50_000)
-    known = index.select("id", "url", F.col("file").alias("filename"), F.col("offset").cast("bigint").alias("offset"), "raw_size", F.lit(5).cast("bigint").alias("dict_id"))
-    return fetch_records(known, path, dictionaries={5: dictionary}).select("id", "url", F.md5("body").alias("digest"))
-
-
 @query(f"WITH {CAPTURES} SELECT id, identifier, type, uri, strftime(date, '%Y%m%d%H%M%S') AS date FROM captures")
 def record_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first values of each record's headers."""
@@ -315,12 +302,6 @@ def dictionary_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return slugs.where("dict_id IS NULL").union(slugs.join(known, slugs.dict_id == known.number, "left_semi")).select("slug")
 
 
-@query(f"""WITH slugs AS (SELECT * FROM (VALUES {_SLUGS}) t(slug, uuid, compression, dict_id))
-SELECT slug, CAST(json_object('uuid', uuid, 'slug', slug) AS VARCHAR) AS json FROM slugs""")
-def collection_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return values(spark, _SLUGS, "slug, uuid, compression, dict_id").select("slug", F.to_json(F.struct("uuid", "slug")).alias("json"))
-
-
 @query("SELECT page_id, CASE WHEN url LIKE 'https:%' THEN 443 ELSE 80 END AS port FROM pages")
 def default_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.functions.urlkey import default_port

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.checkpoint import shared_dir
 from tidemark.functions.scalars import bare_id, cdx_date, is_active, parse_cdx_date, parse_rfc3339
 from tidemark.functions.urlkey import domain_reverse, massage_url
 from tidemark.operators import access
 from tidemark.operators.dictionary import sample_records
 from tidemark.operators.grep import as_csv_rows, grep
 from tidemark.operators.lookup import by_id, first_capture_rank, nearest, nearest_batch
-from tidemark.operators.search import Match, as_json, as_tsv, key_pattern, search
+from tidemark.operators.search import Match, as_json, as_tsv, http_search_args, key_pattern, search, search_args
+from tidemark.operators.snapshot import read_snapshot, write_snapshot
 from tidemark.plans.views import CAPTURES, KEYED, captures, dated, keyed, massage_sql, query, shown, values
 
 URLS = (
@@ -40,6 +43,23 @@ def domain_reversed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "host", domain_reverse(F.col("host")).alias("reversed"))
 
 
+PORTED = f"""ported AS (SELECT * REPLACE (regexp_replace(uri, '^(https?://[^/?#:]*)', '\\1:' || (8078 + page_id % 4)) AS uri) FROM captures),
+{massage_sql('ported', 'keyed')}"""
+
+
+@query(f"WITH {CAPTURES}, {PORTED} SELECT id, uri, massaged_url FROM keyed WHERE regexp_matches(massaged_url, '(?s){key_pattern(port=8080)}')")
+def search_port(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """URLs with the ports 8078 to 8081, searched for one of them."""
+    ported = F.regexp_replace("uri", F.lit("^(https?://[^/?#:]*)"), F.concat(F.lit("$1:"), (F.col("page_id") % 4 + 8078).cast("string")))
+    rows = captures(spark, sf_dir).withColumn("uri", ported).withColumn("massaged_url", massage_url(F.col("uri")))
+    return search(rows, port=8080, limit=None).select("id", "uri", "massaged_url")
+
+
+def _bound(name: str, how: dict) -> None:
+    """A search whose arguments come from a binding."""
+    _search(name, **{k: v for k, v in how.items() if v is not None})
+
+
 def _search(name: str, limit: int | None = None, **how) -> None:
     pattern = "(?s)" + key_pattern(**how).replace("'", "''")
     last = "" if limit is None else f" ORDER BY id LIMIT {limit}"
@@ -54,13 +74,28 @@ def _search(name: str, limit: int | None = None, **how) -> None:
 _search("search_domain", host=Match("example.org"))
 _search("search_domain_path", host=Match("example.org"), path=Match("/en"))
 _search("search_host_exact", host=Match("m.therou.example.com", True))
-_search("search_port", port=8080)
 _search("search_path_prefix", path=Match("/es/"))
 _search("search_path_exact", host=Match("example.com"), path=Match("/en/853/", True))
 _search("search_all_limit", limit=100)
 _search("search_strict", host=Match("example.org"), path=Match("/en"), mode="strict")
 
 
+# a host beats a domain and an exact path a path; of a request's parameters the last holds
+_bound("search_arguments", search_args(host="m.therou.example.com", domain="example.org", path="/de", exact_path=None))
+_bound("search_request", http_search_args([("host", "nobody.example"), ("domain", "example.org"), ("path_exact", "/none"), ("path", "/en"), ("limit", "3")]))
+
+#: The index stored as snapshots, sorted by key; patterns are those of the keys by hand, not of ``key_pattern``.
+STORED = f"WITH {KEYED} SELECT id, massaged_url FROM keyed WHERE starts_with(massaged_url, 'org,example') AND (massaged_url[12] = ',' OR massaged_url[12] = ')' OR massaged_url[12] = ':')"
+
+
+@query(STORED)
+def search_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A strict search over a stored index, whose row groups are passed over by the key's beginning."""
+    path = f"{shared_dir(spark)}/tidemark/searched-{uuid.uuid4().hex}"
+    write_snapshot(keyed(spark, sf_dir).select("id", "massaged_url"), path, sort_by="massaged_url")
+    return search(read_snapshot(spark, path), Match("example.org"), mode="strict", limit=None).select("id", "massaged_url")
+
+
 @query(f"WITH {KEYED} SELECT type, identifier, uri, {shown()}, collection FROM keyed WHERE regexp_matches(massaged_url, '{key_pattern(Match("example.net"))}')")
 def search_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(as_tsv(search(keyed(spark, sf_dir), Match("example.net"), limit=None)))
@@ -180,6 +215,15 @@ def token_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.list_tokens(_tokens(spark))
 
 
+@query("""SELECT * FROM (VALUES ('all', 'any()', 'list(web-1,web-3)', 'prefix(w)', true), ('first wins', 'any()', 'list()', 'none()', true), ('nothing', 'none()', 'none()', 'none()', true)) t(comment, read, write, delete, is_uuid)""")
+def token_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New tokens: any beats a list, a list a prefix."""
+    made = access.new_token(spark, "all", read_any=True, write_list=["web-1", "web-3"], delete_prefix="w")
+    made = made.union(access.new_token(spark, "first wins", read_any=True, read_list=["x"], write_list=[], write_prefix="y")).union(access.new_token(spark, "nothing"))
+    shown_ = access.list_tokens(made)
+    return shown_.select("comment", "read", "write", "delete", F.col("token").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$").alias("is_uuid"))
+
+
 @query(f"SELECT token, comment FROM (VALUES {TOKENS}) t({_NAMES}) WHERE token <> 'k3'")
 def token_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return access.delete_token(_tokens(spark), "k3").select("token", "comment")

@@ -35,10 +35,11 @@ def format_line(row: dict[str, Column] | None = None) -> Column:
     return F.concat_ws(" ", *[F.replace(null_to_dash(get[c]), F.lit(" "), F.lit("%20")) for c in FIELDS])
 
 
-def from_records(records: DataFrame, headers: str = "headers") -> DataFrame:
-    """The seven fields of WARC records; those of the file are taken from columns path, offset, raw_size."""
+def from_records(records: DataFrame, headers: str = "headers", keep: dict[str, str] | None = None) -> DataFrame:
+    """The seven fields of WARC records; those of the file are taken from columns path, offset, raw_size. ``keep``: other columns and their new names."""
     h = F.col(headers)
     return records.select(
+        *[F.col(c).alias(n) for n, c in (keep or {}).items()],
         first_header(h, "WARC-Target-URI").alias("url"), first_header(h, "WARC-Type").alias("type"), bare_id(first_header(h, "WARC-Record-ID")).alias("id"),
         cdx_date(parse_rfc3339(first_header(h, "WARC-Date"))).alias("date"), F.col("path").alias("file"), F.col("offset").cast("string").alias("offset"), F.col("raw_size").cast("bigint").alias("raw_size"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 import os
 from collections.abc import Iterator
@@ -11,8 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.mutations import validate_manifests
-from tidemark.schema import MANIFEST
-from tidemark.sources.warc import opened, read_record
+from tidemark.schema import MANIFEST, PUSH_BATCH
+from tidemark.sources.warc import list_files, opened, read_record
 
 FOLDERS = ("data/buffer", "data/dict/zstd", "data/repository")
 
@@ -72,8 +73,6 @@ def fetch_records(index: DataFrame, root: str, filename: str = "filename", offse
     known = index.sparkSession.sparkContext.broadcast(dictionaries or {})
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import io
-
         import zstandard
 
         ready: dict = {}
@@ -89,7 +88,8 @@ def fetch_records(index: DataFrame, root: str, filename: str = "filename", offse
                     whole = d is None and not raw and full.endswith((".gz", ".zst", ".xz"))
                     stream = opened(full) if whole else open(full, "rb")
                 if whole:  # offsets are those of the decompressed file, which is read from front to back
-                    stream.read(int(start) - place)
+                    while place < start:
+                        place += len(stream.read(min(1 << 20, int(start) - place)) or b" " * (int(start) - place))
                 else:
                     stream.seek(int(start))
                 data = stream.read(int(length))
@@ -111,25 +111,48 @@ def fetch_records(index: DataFrame, root: str, filename: str = "filename", offse
     return index.repartition(filename).sortWithinPartitions(filename, offset).mapInPandas(read, f"{fields}, {extra}")
 
 
-def read_frames(data: bytes, most: int | None = None) -> Iterator[list[tuple[str, bytes]]]:
-    """Pushed frames (a CDX line, then as many bytes as its last field says) in batches that are written at once."""
-    from tidemark.schema import PUSH_BATCH
+def read_frame_files(spark: SparkSession, path: str) -> DataFrame:
+    """Frames of pushed files, each file read by one task as a stream: id (of file and place, in order), line, raw. A bad frame is an error."""
+    names = [(k, n) for k, n in enumerate(list_files(path))]
+    files = spark.createDataFrame(names, "k int, name string").repartition(max(1, len(names)), "k")
 
-    most, at, batch, held = most or PUSH_BATCH, 0, [], 0
-    while at < len(data):
-        end = data.index(b"\n", at)
-        line = data[at:end].decode()
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, name in zip(frame.k, frame.name):
+                with open(name, "rb") as stream:
+                    rows, held, n = [], 0, 0
+                    for line, raw in _frames_of(stream):
+                        if rows and held + len(raw) > PUSH_BATCH:
+                            yield pd.DataFrame(rows, columns=["id", "line", "raw"])
+                            rows, held = [], 0
+                        rows.append(((int(k) << 40) + n, line, raw))
+                        held, n = held + len(raw), n + 1
+                    if rows:
+                        yield pd.DataFrame(rows, columns=["id", "line", "raw"])
+
+    return files.mapInPandas(read, "id bigint, line string, raw binary")
+
+
+def _frames_of(stream) -> Iterator[tuple[str, bytes]]:
+    while head := stream.readline():
+        line = head.rstrip(b"\r\n").decode()
         parts = line.split(" ")
         if len(parts) != 7 or not parts[6].isdigit() or parts[6] == "0":
             raise ValueError(f"not a frame: {line[:80]}")
-        size = int(parts[6])
-        if end + 1 + size > len(data):
+        raw = stream.read(int(parts[6]))
+        if len(raw) < int(parts[6]):
             raise ValueError("the last frame is cut off")
-        if batch and held + size > most:
+        yield line, raw
+
+
+def read_frames(data: bytes, most: int = PUSH_BATCH) -> Iterator[list[tuple[str, bytes]]]:
+    """Pushed frames (a CDX line, then as many bytes as its last field says) in batches that are written at once."""
+    batch, held = [], 0
+    for line, raw in _frames_of(io.BytesIO(data)):
+        if batch and held + len(raw) > most:
             yield batch
             batch, held = [], 0
-        batch.append((line, data[end + 1 : end + 1 + size]))
-        held += size
-        at = end + 1 + size
+        batch.append((line, raw))
+        held += len(raw)
     if batch:
         yield batch

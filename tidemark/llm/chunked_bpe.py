@@ -186,10 +186,21 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
                 run = np.flatnonzero(mine | np.concatenate(([True], mine[:-1]))) + a  # runs of other chunks stay together
                 for p, q in zip(run, np.append(run[1:], b)):
                     name = (int(cut.hashes[p].view(np.int64)), int(cut.more[p].view(np.int64))) if common[p] else (None, None)
-                    out.append((one, two, int(cut.start[p]), *name, cut.raw[d][cut.start[p] : cut.end[q - 1]]))
+                    body = None if small and common[p] else cut.raw[d][cut.start[p] : cut.end[q - 1]]
+                    out.append((one, two, int(cut.start[p]), *name, body))
             table = pd.DataFrame(out, columns=["k1", "k2", "at", "hash", "more", "body"])
             yield table.astype({"hash": "Int64", "more": "Int64"})
 
+    def shared_bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Each shared chunk once for each batch."""
+        for frame in batches(frames, "text", 1 << 20):
+            cut = cut_chunks(frame.text.tolist())
+            owner = np.repeat(np.arange(len(frame)), np.diff(cut.first))
+            on = np.flatnonzero(shared_of(cut.hashes))
+            on = on[np.unique(np.stack((cut.hashes[on], cut.more[on]), axis=1), axis=0, return_index=True)[1]]
+            body = [cut.raw[d][p:q] for d, p, q in zip(owner[on], cut.start[on], cut.end[on])]
+            yield pd.DataFrame({"hash": cut.hashes[on].view(np.int64), "more": cut.more[on].view(np.int64), "body": body})
+
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             frame["body"] = [_narrow(encode(bytes(b).decode("utf-8"), vocabulary)) for b in frame.body]
@@ -223,7 +234,9 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
     if not small:
         once = many.join(shared, "hash", "left_anti")
         single, many = single.unionByName(once.select(single.columns)), many.join(shared, "hash", "left_semi")
-    book = many.groupBy("hash", "more").agg(F.first("body").alias("body")).mapInPandas(encoded, "hash bigint, more bigint, body binary")
+    # where a task knows what is shared, the bodies of shared chunks are brought together by themselves
+    bodies = keyed.select("text").mapInPandas(shared_bodies, "hash bigint, more bigint, body binary") if small else many
+    book = bodies.groupBy("hash", "more").agg(F.first("body").alias("body")).mapInPandas(encoded, "hash bigint, more bigint, body binary")
     placed = many.select("k1", "k2", "at", "hash", "more").join(book, ["hash", "more"]).select("k1", "k2", "at", "body")
     rest = single.select("k1", "k2", "at", "body").mapInPandas(encoded, "k1 bigint, k2 int, at bigint, body binary")
     lists = placed.union(rest).groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.struct("at", "body"))).alias("parts"))

@@ -162,7 +162,7 @@ class Archive:
         old = self.records(manifest.uuid)
         first = old.agg(F.max("id")).first()[0]
         rows = index.select(
-            (F.col("record_no") + (-1 if first is None else first)).cast("bigint").alias("id"), F.lit(ACTIVE).cast("int").alias("flags"), F.coalesce(parse_cdx_date(F.col("date")), F.lit("1970-01-01").cast("timestamp_ntz")).alias("date"),
+            (F.col("record_no") + (first or 0)).cast("bigint").alias("id"), F.lit(ACTIVE).cast("int").alias("flags"), F.coalesce(parse_cdx_date(F.col("date")), F.lit("1970-01-01").cast("timestamp_ntz")).alias("date"),
             F.coalesce("id", F.lit("")).alias("identifier"), F.lit(manifest.uuid).alias("collection"), F.col("file").alias("filename"), F.col("offset").cast("bigint").alias("offset"), F.coalesce("type", F.lit("")).alias("type"),
             F.col("url").alias("uri"), F.lit(manifest.compression).cast("string").alias("dict_type"), F.lit(manifest.dict_id).cast("bigint").alias("dict_id"), massage_url(F.col("url")).alias("massaged_url"), F.col("raw_size").cast("bigint").alias("raw_size"),
         )

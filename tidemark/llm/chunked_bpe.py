@@ -188,8 +188,9 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
                     name = (int(cut.hashes[p].view(np.int64)), int(cut.more[p].view(np.int64))) if common[p] else (None, None)
                     body = None if small and common[p] else cut.raw[d][cut.start[p] : cut.end[q - 1]]
                     out.append((one, two, int(cut.start[p]), *name, body))
-            table = pd.DataFrame(out, columns=["k1", "k2", "at", "hash", "more", "body"])
-            yield table.astype({"hash": "Int64", "more": "Int64"})
+            k1, k2, at, one, two, body = zip(*out) if out else ((),) * 6
+            # hashes beside nulls would become doubles
+            yield pd.DataFrame({"k1": k1, "k2": k2, "at": at, "hash": pd.array(one, "Int64"), "more": pd.array(two, "Int64"), "body": pd.Series(body, dtype=object)})
 
     def shared_bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each shared chunk once for each batch."""

@@ -20,6 +20,8 @@ _SIMPLE = (
     r"((?:/[A-Za-z0-9_.~!$&'()*+,;=:@%/-]*)?)"
     r"(?:\?((?:[A-Za-z0-9_.~=&+*!(),;:@/-]|%[0-7][0-9A-Fa-f])*))?(?:#[\x21-\x7E]*)?$"
 )
+#: Of these, URLs whose host is certain to be a name: the last label begins with a letter, and the port has four digits at most.
+_SURE = _SIMPLE.replace(r"([A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+)*\.?)", r"((?:[A-Za-z0-9_-]+\.)*[A-Za-z][A-Za-z0-9_-]*\.?)").replace("{0,5}", "{0,4}")
 _DOTS = r"(?i)/(?:\.|%2e){1,2}(?:/|$)"
 
 
@@ -44,22 +46,32 @@ def sorted_pairs(query: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(pairs), lambda p: F.concat(p["k"], F.lit("="), p["v"])), "&")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _native(url: Column) -> Column:
-    got = lambda k: F.regexp_extract(url, _SIMPLE, k)
-    host, port, path, pairs = F.lower(got(2)), got(3), got(4), sorted_pairs(got(5))
-    number = F.nullif(port, F.lit("")).cast("int")
-    shown = F.when(number.isNull() | (number == default_port(F.lower(got(1)))), "").otherwise(F.concat(F.lit(":"), number.cast("string")))
-    return F.concat(
-        F.when(host.rlike(_IPV4), host).otherwise(domain_reverse(host)), shown, F.lit(")"),
-        F.when(path == "", "/").otherwise(path), F.when(pairs == "", "").otherwise(F.concat(F.lit("?"), pairs)),
-    )
+    """The key of a URL that columns alone can handle, null for others; the long expression is matched once."""
+    marked = F.regexp_replace(url, _SIMPLE, "$1\u0001$2\u0001$3\u0001$4\u0001$5")
+
+    def key(p: Column) -> Column:
+        return _let(F.lower(F.get(p, F.lit(1))), lambda host: _let(F.nullif(F.get(p, F.lit(2)), F.lit("")).cast("int"), lambda port: F.when(fits(host, port), shown(p, host, port))))
+
+    def fits(host: Column, port: Column) -> Column:
+        numeric = host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$") & ~host.rlike(_IPV4)
+        return ~numeric & ~host.rlike(r"(?:^|\.)xn--") & (F.coalesce(port, F.lit(0)) <= 65535)
 
+    def shown(p: Column, host: Column, port: Column) -> Column:
+        own = port.isNull() | (port == default_port(F.lower(F.get(p, F.lit(0)))))
+        path, pairs = F.get(p, F.lit(3)), sorted_pairs(F.get(p, F.lit(4)))
+        return F.concat(
+            F.when(host.rlike(_IPV4), host).otherwise(domain_reverse(host)), F.when(own, "").otherwise(F.concat(F.lit(":"), port.cast("string"))), F.lit(")"),
+            F.when(path == "", "/").otherwise(path), F.when(pairs == "", "").otherwise(F.concat(F.lit("?"), pairs)),
+        )
 
-def _is_simple(url: Column) -> Column:
-    host = F.lower(F.regexp_extract(url, _SIMPLE, 2))
-    port = F.nullif(F.regexp_extract(url, _SIMPLE, 3), F.lit("")).cast("int")
-    numeric = host.rlike(r"(?:^|\.)(?:[0-9]+|0x[0-9a-f]*)\.?$") & ~host.rlike(_IPV4)
-    return url.rlike(_SIMPLE) & ~url.rlike(_DOTS) & ~numeric & ~host.rlike(r"(?:^|\.)xn--") & (F.coalesce(port, F.lit(0)) <= 65535)
+    plain = ~url.contains("\u0001") & ~url.rlike(_DOTS)
+    return F.when(plain, _let(F.split(marked, "\u0001", -1), lambda p: F.when(F.size(p) == 5, key(p))))
 
 
 def massage_url(url: Column, odd: bool = True) -> Column:
@@ -70,11 +82,11 @@ def massage_url(url: Column, odd: bool = True) -> Column:
     international hosts, characters to be encoded) is sent to a URL parser in Python,
     without it they give "". Only those rows carry their text there.
     """
-    simple = F.coalesce(_is_simple(url), F.lit(False))
-    native = F.when(simple, _native(F.when(simple, url)))
+    native = _native(url)
     if not odd:
         return F.coalesce(native, F.lit(""))
-    return F.coalesce(native, _parsed(F.when(~simple, url)), F.lit(""))
+    sure = url.rlike(_SURE) & ~url.rlike(_DOTS) & ~url.rlike("(?i)xn--")
+    return F.coalesce(F.when(sure, native), _parsed(F.when(~sure, url)), F.lit(""))
 
 
 @F.pandas_udf(StringType())

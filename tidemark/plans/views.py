@@ -27,7 +27,12 @@ def query(sql: str | None = None):
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each page as a response, a request and a metadata record."""
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    return _captures(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def _captures(pages: DataFrame) -> DataFrame:
+    pages = pages.select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("k"))
+    more = [c for c in ("massaged_url",) if c in pages.columns]
     return pages.select(
         (F.col("page_id") * 3 + F.col("k")).alias("id"),
         F.when((F.col("page_id") * 3 + F.col("k")) % 10 != 9, 1).otherwise(0).alias("flags"),
@@ -35,7 +40,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("urn:cap:"), (F.col("page_id") * 3 + F.col("k")).cast("string")).alias("identifier"),
         F.concat(F.lit("web-"), (F.col("page_id") % 4).cast("string")).alias("collection"),
         F.element_at(F.array(*map(F.lit, ("response", "request", "metadata"))), ((F.col("k") + F.col("page_id")) % 3 + 1).cast("int")).alias("type"),
-        F.col("url").alias("uri"), F.octet_length("html").cast("bigint").alias("raw_size"), F.col("html").alias("body"), "page_id",
+        F.col("url").alias("uri"), F.octet_length("html").cast("bigint").alias("raw_size"), F.col("html").alias("body"), "page_id", *more,
     )
 
 
@@ -46,7 +51,8 @@ CAPTURES = """captures AS (SELECT p.page_id * 3 + k AS id, CAST((p.page_id * 3 +
 
 
 def keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return captures(spark, sf_dir).withColumn("massaged_url", massage_url(F.col("uri")))
+    """Captures with the keys of their URLs, which are made before a page becomes several captures."""
+    return _captures(spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("massaged_url", massage_url(F.col("url"))))
 
 
 def massage_sql(source: str, out: str, url: str = "uri") -> str:

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import lzma
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -71,17 +72,32 @@ def write_record(headers: dict[str, list[str]], body: bytes) -> bytes:
     return VERSION + "".join(lines).encode() + b"Content-Length: %d\r\n\r\n" % len(body) + body + FOOTER
 
 
-def opened(path: str):
-    """A stream of a file's own bytes, by its suffix; members that follow each other are read as one."""
+def unpacked(stream, path: str):
+    """What a stream of a file holds, by the file's suffix; members that follow each other are read as one."""
     if path.endswith(".gz"):
-        return gzip.open(path)
+        return gzip.open(stream)
     if path.endswith((".zst", ".zstd")):
         import zstandard
 
-        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True, closefd=True))
+        return io.BufferedReader(zstandard.ZstdDecompressor().stream_reader(stream, read_across_frames=True, closefd=True))
     if path.endswith(".xz"):
-        return lzma.open(path)
-    return open(path, "rb")
+        return lzma.open(stream)
+    return stream
+
+
+def _remote(path: str):
+    """The file system of a path of another kind than files of this machine, and the path in it; None where it is one of these."""
+    if "://" not in path or path.startswith("file://"):
+        return None
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
+
+
+def opened(path: str):
+    """A stream of a file's own bytes, decompressed by its suffix; files of ``hdfs://``, ``s3a://`` and the like too."""
+    there = _remote(path)
+    return unpacked(open(path.removeprefix("file://"), "rb") if there is None else io.BufferedReader(there[0].open_input_stream(there[1])), path)
 
 
 def records_of(path: str, on_error: str = "stop") -> Iterator[tuple]:
@@ -119,7 +135,15 @@ class _Files(InputPartition):
 
 
 def list_files(path: str) -> list[str]:
-    """Files of a folder, of a pattern or of one name. A shared file system must be mounted on all executors."""
+    """Files of a folder, of a pattern or of one name; of a folder or a name on ``hdfs://``, ``s3a://`` and the like."""
+    if there := _remote(path):
+        from pyarrow import fs
+
+        kind = there[0].get_file_info(there[1]).type
+        if kind != fs.FileType.Directory:
+            return [path]
+        found = there[0].get_file_info(fs.FileSelector(there[1], recursive=True))
+        return sorted(path.rstrip("/") + f.path[len(there[1].rstrip("/")) :] for f in found if f.type == fs.FileType.File and not f.base_name.startswith((".", "_")))
     plain = path.removeprefix("file://")
     p = Path(plain)
     if p.is_dir():

@@ -10,18 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.schema import WARC
-from tidemark.sources.warc import BadRecord, read_record
+from tidemark.sources.warc import BadRecord, read_record, unpacked
 
 
 def stream_records(spark: SparkSession, path: str, files_per_batch: int = 100, watermark: str | None = "1 hour") -> DataFrame:
-    """Records of plain WARC files as they arrive, each identifier once within the watermark. A bad record ends its file."""
+    """Records of WARC files, compressed or not, as they arrive, each identifier once within the watermark. A bad record ends its file."""
     files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(path)
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for name, seen, data in zip(frame.path, frame.modificationTime, frame.content):
-                stream, at = io.BytesIO(data), 0
+                stream, at = unpacked(io.BytesIO(data), name), 0
                 while True:
                     try:
                         found = read_record(stream, name, at)

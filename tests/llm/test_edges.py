@@ -115,3 +115,40 @@ def test_ids_beside_a_null_stay_as_they_are(spark, name):
 def test_page_ids_beside_a_null_stay_as_they_are(spark):
     df = spark.createDataFrame([(i, "http://a/", f"<p>text {i}</p>") for i in BIG], "page_id long, url string, html string").coalesce(1)
     assert {r.page_id: r.text for r in style_tree.extract(df).collect()} == {i: f"text {i}" for i in BIG}
+
+
+def test_one_id_with_different_texts(spark):
+    """op2: the least text stands for the id; op4: one document, by its least fingerprint; its stage keeps one row."""
+    words = lambda a, n: " ".join(f"{a}{(k * k + 3 * k) % 97}x{k}" for k in range(n))
+    rows = [(1, words("b", 80), "s"), (2, words("a", 80), "s"), (2, words("b", 80), "s"), (3, words("b", 80), "s"), (None, words("b", 80), "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {(r.doc_id, r.ref_doc_id) for r in chaining.repeated_passages(df).collect()} == {(3, 1)}
+    out = simhash.near_duplicates(df).collect()
+    assert sorted(r.doc_id for r in out) == [1, 2, 3]
+    kept = simhash.drop_near_duplicates(df).collect()
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) in ([1, 2], [1]) and sum(r.doc_id is None for r in kept) == 1
+
+
+def test_reading_back_nothing(spark, messy):
+    empty = messy.limit(0)
+    assert chunked_bpe.decode_ids(chunked_bpe.encode_chunked(empty)).count() == 0
+    assert bitplanes.read_planes(bitplanes.bit_planes(empty)).count() == 0
+    assert balancing.mixing_rates(empty).count() == 0 and language_id.train(empty) is None
+    assert language_id.document_frequencies(empty)[1] == 0
+    assert style_tree.importance(spark.createDataFrame([], "host string, html string")).count() == 0
+
+
+@pytest.mark.filterwarnings("ignore:the constraints")
+def test_pipeline_over_messy_documents(spark, messy, tmp_path):
+    import corpus_pipeline
+
+    messy.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    texts = {}
+    for i, t, *_ in ROWS:
+        texts.setdefault(i, set()).add(t)
+    assert {r.doc_id for r in rows} <= {1, 4, 7, 8, None} and all(r.n_tokens == len(r.ids) > 0 for r in rows)
+    for r in rows:  # all but the mail address is as it was
+        assert any(t and "".join(t.split("a.b@example")) == "".join(chunked_bpe.decode(r.ids).split(chunked_bpe.decode(r.ids)[t.index("a.b@") : t.index("a.b@") + 11]) if "a.b@" in t else chunked_bpe.decode(r.ids)) for t in texts[r.doc_id])
+    messy.limit(0).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

@@ -45,7 +45,8 @@ def bit_planes(
 ) -> DataFrame:
     """Encodes texts and stores their ids in blocks of ``block``, as ``planes`` ("bit" or "byte") compressed one by one.
 
-    Each partition of the input is a shard: the ids of its documents one after another.
+    Each partition of the input is a shard, numbered as Spark numbers it, so a shard's number tells its blocks apart within
+    one result and means nothing beyond it: the ids of its documents one after another.
     Nothing is shuffled. Returns a row for each block: shard, block, first_id (its place
     in the shard), n_ids, planes, plane_ends (where each plane ends in the payload; an
     empty plane is all zeros), payload, and of the documents that begin in it doc_ids,
@@ -103,7 +104,7 @@ def bit_planes(
 
 
 def read_planes(blocks: DataFrame) -> DataFrame:
-    """doc_id and ids (null for a null text) of every document of a table from ``bit_planes``."""
+    """doc_id and ids (null for a null text) of every document of a table from ``bit_planes``; none of an empty one. Other columns must not be left out, more play no part."""
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

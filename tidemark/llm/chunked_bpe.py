@@ -246,7 +246,10 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
 
 
 def decode_ids(tokens: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of each row of ids; null ids give a null text."""
+    """doc_id and text of each row of ids.
+
+    Null ids give a null text, no ids an empty one; null doc_ids and repeated rows each give a row, an empty table gives none. Other columns play no part.
+    """
 
     def decoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

@@ -140,8 +140,8 @@ def near_duplicates(docs: DataFrame, radius: int = 56, id_col: str = "doc_id", t
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The input's rows without those that ``near_duplicates`` doesn't keep; of rows with the same doc_id, one stays.
 
-    Rows with a null doc_id all stay. Of rows with one doc_id and different texts, the
-    first by hash of the whole row stays.
+    Rows with a null doc_id, or without words, all stay. Of rows with one doc_id and different texts, the
+    first by hash of the whole row stays. An empty table gives an empty one; all columns stay as they are.
     """
     gone = near_duplicates(docs, id_col=id_col, **how).where(~F.col("keep")).select(F.col("doc_id").alias(id_col))
     left = docs.join(gone, id_col, "left_anti").select(docs.columns)

@@ -20,9 +20,10 @@ from pyspark.sql import functions as F
 from tidemark.checkpoint import discard, materialise
 from tidemark.functions.scalars import parse_cdx_date
 from tidemark.functions.urlkey import massage_url
+from tidemark.operators.access import Config, check
 from tidemark.operators.dictionary import dictionary_id, inactive, sample_records, train_dictionary
 from tidemark.operators.mutations import LEVEL, activate, delete_by_dictionary, index_records
-from tidemark.operators.push import push, push_stored
+from tidemark.operators.push import push, push_stored, write_lines
 from tidemark.operators.render import serialise
 from tidemark.operators.snapshot import append_snapshot, read_snapshots, write_snapshot
 from tidemark.schema import ACTIVE, DICTIONARY_BYTES, DICTIONARY_SAMPLES, MANIFEST, RECORDS, SPLIT_THRESHOLD
@@ -131,8 +132,9 @@ class Archive:
             self.push(slug, row.withColumn("headers", F.map_concat("headers", F.create_map(F.lit("WARC-Date"), now))))
         return True
 
-    def delete_collection(self, slug: str) -> bool:
+    def delete_collection(self, slug: str, token: str | None = None, tokens: DataFrame | None = None, config: Config = Config()) -> bool:
         """Deletes a collection's rows, then its files. One that isn't there changes nothing."""
+        self._ask(slug, "delete", token, tokens, config)
         known = self.collection(slug)
         if known is None:
             return False
@@ -169,21 +171,30 @@ class Archive:
         append_snapshot(rows, self._index(manifest.uuid), sort_by="massaged_url")
         return index
 
-    def push(self, slug: str, records: DataFrame, order: str = "id") -> DataFrame:
+    def _ask(self, slug: str, action: str, token: str | None, tokens: DataFrame | None, config: Config) -> None:
+        """An error unless a token, or an anonymous visitor, may do something to a collection; with no table of tokens everyone may."""
+        if tokens is not None:
+            asked = self.spark.createDataFrame([(token, slug)], "token string, slug string")
+            if not check(asked, tokens, config, action).first()["allowed"]:
+                raise PermissionError(f"{action} {slug}")
+
+    def push(self, slug: str, records: DataFrame, order: str = "id", token: str | None = None, tokens: DataFrame | None = None, config: Config = Config()) -> DataFrame:
         """Appends records (order, headers, body) to the collection's last file and new ones after it, then to ``index.cdx``, then to the index.
 
-        Returns record_no (1, 2, ... by ``order``) and the seven CDX fields.
+        Returns record_no (1, 2, ... by ``order``) and the seven CDX fields. Where ``tokens`` are given, ``token`` must be allowed to write.
         """
+        self._ask(slug, "write", token, tokens, config)
         known = self._known(slug)
         index = push(records, f"file://{self.folder(known.uuid)}", self.dictionary(known.dict_id), known.dict_id, known.split_threshold, known.compression_level, order)
         return self._add_rows(known, index)
 
-    def push_raw(self, slug: str, frames: str) -> DataFrame:
+    def push_raw(self, slug: str, frames: str, token: str | None = None, tokens: DataFrame | None = None, config: Config = Config()) -> DataFrame:
         """Appends pushed frames (files of CDX lines, each followed by as many bytes as it says) without looking into them.
 
         The bytes must be encoded as the collection's are; what the lines say is taken as it is. Each
         file is read by one task, in batches; a bad frame fails the push before anything is written.
         """
+        self._ask(slug, "write", token, tokens, config)
         known = self._known(slug)
         index = push_stored(read_frame_files(self.spark, frames), f"file://{self.folder(known.uuid)}", known.dict_id, known.split_threshold)
         return self._add_rows(known, index)
@@ -222,8 +233,6 @@ class Archive:
         write_snapshot(swapped.join(flags, "id").withColumn("flags", F.col("was")).select(RECORDS.fieldNames()), self._index(uuid), sort_by="massaged_url")
         now = self.records(uuid)
         lines = now.select("id", F.col("uri").alias("url"), "type", "identifier", F.date_format("date", "yyyyMMddHHmmss").alias("date"), F.col("filename").alias("file"), F.col("offset").cast("string").alias("offset"), "raw_size")
-        from tidemark.operators.push import write_lines
-
         write_lines(lines.withColumnRenamed("id", "record_no").withColumnRenamed("identifier", "id"), f"file://{folder}/.index.cdx")
         self._write_manifest({k: known[k] for k in MANIFEST.fieldNames()} | {"dict_id": dict_id, "compression": "zstd"})
         shutil.rmtree(f"{folder}/index.cdx", ignore_errors=True)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.checkpoint import materialise, shared_dir
 from tidemark.functions.scalars import bare_id
+from tidemark.operators.access import new_token
 from tidemark.operators.archive import Archive
 from tidemark.operators.render import serialise
 from tidemark.plans.files import _HEAD, _WHOLE, _warc
@@ -19,6 +20,7 @@ from tidemark.plans.views import CAPTURES, captures, dated, massage_sql, query,
 from tidemark.schema import MANIFEST, RECORDS, TOKENS
 from tidemark.sources.repository import init_layout, read_collections
 from tidemark.sources.warc import read_warc, write_warc
+from tidemark.streaming.ingest import push_stream
 
 #: Collections of the archives below: those that the captures name.
 SLUGS = ("web-0", "web-1", "web-2", "web-3")
@@ -180,6 +182,24 @@ def rebuild_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated(_named(archive, rows).select("identifier", "collection", "flags", "date", "type", "uri", (F.col("dict_id") == F.col("_d")).alias("has_dictionary"), named.alias("named_by_it"), F.md5("body").alias("digest"), "compression", F.lit(old).alias("old_files")))
 
 
+@query(f"{_PUSHED} SELECT identifier, 1 AS flags, {shown()}, type, uri, massaged_url, md5(body) AS digest FROM keyed")
+def stream_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of files that arrive in a folder, pushed to a collection as a stream by a token that may write, and refused to one that may not."""
+    rows, path = captures(spark, sf_dir), _path(spark, "arriving")
+    write_warc(_warc(rows).select(F.lit("").alias("path"), F.lit(0).cast("bigint").alias("offset"), "raw_size", "headers", F.col("body").cast("binary").alias("body")), path)
+    archive = Archive.init(spark, _path(spark, "archive"))
+    archive.create_collection("all", threshold=THRESHOLD, warcinfo=False)
+    tokens = new_token(spark, "writer", write_list=["all"]).union(new_token(spark, "reader", read_any=True))
+    ids = {r.comment: r.token for r in tokens.collect()}
+    tokens = spark.createDataFrame([(ids["writer"], "writer", 0, 2, 0, "", "all", ""), (ids["reader"], "reader", 1, 0, 0, "", "", "")], TOKENS)
+    try:
+        archive.push("all", _warc(rows).select("id", "headers", F.col("body").cast("binary").alias("body")), token=ids["reader"], tokens=tokens)
+    except PermissionError:
+        pass
+    push_stream(archive, "all", path, f"{path}-state", once=True, token=ids["writer"], tokens=tokens).awaitTermination()
+    return dated(archive.fetch(archive.records()).select("identifier", "flags", "date", "type", "uri", "massaged_url", F.md5("body").alias("digest")))
+
+
 @query("SELECT * FROM (VALUES ('web-1', 0, 0), ('none', 1, 1)) t(slug, folders, found)")
 def collection_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of two collections, how many of whose folders and rows are left when one was deleted, and one that isn't there."""

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.archive import Archive
 from tidemark.schema import WARC
 from tidemark.sources.warc import BadRecord, read_record, unpacked
 
@@ -45,3 +46,19 @@ def append_batches(records: DataFrame, target: str, checkpoint: str, once: bool
     """Writes a stream of records as Parquet, each batch once; returns the running query."""
     writer = records.select("*", F.to_date("seen").alias("day")).writeStream.format("parquet").partitionBy("day").option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start(target)
+
+
+def push_stream(archive: Archive, slug: str, path: str, checkpoint: str, once: bool = False, **access):
+    """Pushes the records of files that arrive in a folder to a collection, by batches; returns the running query.
+
+    A batch that is tried again adds only the records whose identifiers aren't in the index yet.
+    """
+    uuid = archive.collection(slug)["uuid"]
+
+    def push(batch: DataFrame, _: int) -> None:
+        there = archive.records(uuid).select("identifier")
+        fresh = batch.join(there, "identifier", "left_anti").withColumn("id", F.concat("path", F.lpad(F.col("offset").cast("string"), 20, "0")))
+        archive.push(slug, fresh.select("id", "headers", "body"), **access)
+
+    writer = stream_records(archive.spark, path).writeStream.foreachBatch(push).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()

@@ -101,7 +101,7 @@ def compare_all(table: DataFrame, words: list[str], more: list[str], reach: int,
         placed = materialise(placed, f"{tag}-placed")
     total, done = sum(n for _, n in counts), []
     for c, (low, high) in enumerate(ranges):
-        chunk = spark.sparkContext.broadcast(Side(placed.where(F.col("chunk") == c).drop("chunk").toPandas(), words, more))
+        chunk = spark.sparkContext.broadcast(Side(placed.where(F.col("chunk") == c).drop("chunk").toArrow().to_pandas(), words, more))
 
         def run(frames: Iterator[pd.DataFrame], c=c, chunk=chunk) -> Iterator[pd.DataFrame]:
             held, n = [], 0

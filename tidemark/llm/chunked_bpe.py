@@ -147,7 +147,7 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
     shared = materialise(hashes.groupBy("hash").count().where("count > 1").select("hash"), "shared-chunks")
     small = shared.count() <= BROADCAST_HASHES
     if small:
-        known = spark.sparkContext.broadcast(np.sort(shared.toPandas()["hash"].to_numpy(np.int64)))
+        known = spark.sparkContext.broadcast(np.sort(shared.toArrow().to_pandas()["hash"].to_numpy(np.int64)))
 
     def shared_of(hashed: np.ndarray) -> np.ndarray:
         if not small:

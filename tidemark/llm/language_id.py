@@ -122,7 +122,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[np.nd
         on = np.flatnonzero(seen)
         yield pd.DataFrame({"bucket": np.append(on, -1), "n": np.append(seen[on], n)})
 
-    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select(F.col(text_col).alias("text")).mapInPandas(count, "bucket int, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     df = np.zeros(BUCKETS, np.int64)
     real = rows[rows.bucket >= 0]
     df[real.bucket.to_numpy()] = real.n.to_numpy()
@@ -143,7 +143,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, epochs: int = 2, seed: int = 5,
         return None
     rank = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52))
     chosen = labelled.where(rank < F.lit(min(1 << 52, int((1 << 52) * sample / n)))) if n > sample else labelled
-    rows = chosen.withColumn("rank", rank).toPandas().sort_values(["rank", "id", "text"], kind="stable")
+    rows = chosen.withColumn("rank", rank).toArrow().to_pandas().sort_values(["rank", "id", "text"], kind="stable")
     if not len(rows):
         return None
     languages = sorted(rows.lang.unique())

@@ -151,7 +151,7 @@ def extract(pages: DataFrame, threshold: float = 0.6, id_col: str = "page_id", u
             yield pd.DataFrame({"page_id": frame.id.array, "url": frame.url.array, "text": [t for t, _ in done], "n_removed": [r for _, r in done]})
 
     if low.count() <= BROADCAST_NODES:
-        rows = low.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("nodes")).toPandas()
+        rows = low.groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("nodes")).toArrow().to_pandas()
         known = pages.sparkSession.sparkContext.broadcast({h: np.asarray(v, np.int64) for h, v in zip(rows.host, rows.nodes)})
         nothing = np.zeros(0, np.int64)
 

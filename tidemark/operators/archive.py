@@ -28,7 +28,7 @@ from tidemark.operators.render import serialise
 from tidemark.operators.snapshot import append_snapshot, read_snapshots, write_snapshot
 from tidemark.schema import ACTIVE, DICTIONARY_BYTES, DICTIONARY_SAMPLES, MANIFEST, RECORDS, SPLIT_THRESHOLD
 from tidemark.sources.cdx import read_cdx
-from tidemark.sources.repository import fetch_records, init_layout, read_collections, read_dictionaries, read_frame_files
+from tidemark.sources.repository import dictionary_of, fetch_records, init_layout, read_collections, read_dictionaries, read_frame_files
 
 SOFTWARE = "tidemark"
 
@@ -77,13 +77,7 @@ class Archive:
 
     def dictionary(self, number: int | None) -> bytes | None:
         """The bytes of one dictionary; only its file is read."""
-        if number is None:
-            return None
-        for name in os.listdir(f"{self.plain}/data/dict/zstd"):
-            if name.split(".")[1:2] == [str(number)]:
-                with open(f"{self.plain}/data/dict/zstd/{name}", "rb") as data:
-                    return data.read()
-        raise KeyError(number)
+        return None if number is None else dictionary_of(f"{self.plain}/data/dict/zstd", number)
 
     def add_dictionary(self, slug: str, data: bytes) -> int:
         """Stores a dictionary under the id in its bytes."""
@@ -154,10 +148,8 @@ class Archive:
 
     def fetch(self, records: DataFrame, raw: bool = False) -> DataFrame:
         """Index rows with what their files hold at their places."""
-        numbers = [r.dict_id for r in records.select("dict_id").where("dict_id IS NOT NULL").distinct().collect()]  # one for each dictionary in use
         placed = records.withColumn("filename", F.concat("collection", F.lit("/"), "filename"))
-        known = {n: self.dictionary(n) for n in numbers} if not raw else {}
-        return fetch_records(placed, f"{self.plain}/data/repository", dictionaries=known, raw=raw)
+        return fetch_records(placed, f"{self.plain}/data/repository", dictionaries=f"{self.plain}/data/dict/zstd", raw=raw)
 
     def _add_rows(self, manifest, index: DataFrame) -> DataFrame:
         """Index rows for pushed CDX fields (record_no and the seven), numbered on from those that are there."""

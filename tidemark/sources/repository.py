@@ -62,16 +62,26 @@ def slice_raw(body: Column, offset: Column, size: Column) -> Column:
     return F.substring(body, (offset + 1).cast("int"), size.cast("int"))
 
 
-def fetch_records(index: DataFrame, root: str, filename: str = "filename", offset: str = "offset", size: str = "raw_size", dictionaries: dict[int, bytes] | None = None, raw: bool = False) -> DataFrame:
+def dictionary_of(dictionaries: dict[int, bytes] | str | None, number: int) -> bytes:
+    """One dictionary, of a folder or of those that are at hand."""
+    if not isinstance(dictionaries, str):
+        return (dictionaries or {})[number]
+    for name in os.listdir(dictionaries):
+        if name.split(".")[1:2] == [str(number)] and name.count(".") == 2:
+            with open(f"{dictionaries}/{name}", "rb") as data:
+                return data.read()
+    raise KeyError(number)
+
+
+def fetch_records(index: DataFrame, root: str, filename: str = "filename", offset: str = "offset", size: str = "raw_size", dictionaries: dict[int, bytes] | str | None = None, raw: bool = False) -> DataFrame:
     """Index rows with ``raw`` (as stored), or with ``headers`` and ``body``.
 
-    Rows are brought together by file and read in order of offset, each by one seek. A row with a dict_id is decompressed with that dictionary.
+    Rows are brought together by file and read in order of offset, each by one seek. A row with a dict_id is decompressed
+    with that dictionary: of those given, which travel with the function, or out of a folder, from which each task reads those it needs.
     """
     shape = index.schema
     extra = "raw binary" if raw else "headers map<string,array<string>>, body binary"
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
-    known = index.sparkSession.sparkContext.broadcast(dictionaries or {})
-
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
@@ -99,7 +109,7 @@ def fetch_records(index: DataFrame, root: str, filename: str = "filename", offse
                     continue
                 if d is not None:
                     if d not in ready:
-                        ready[d] = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(known.value[d]))
+                        ready[d] = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary_of(dictionaries, d)))
                     data = ready[d].decompress(data)
                 headers, body, _ = read_record(io.BytesIO(data), name, int(start))
                 found.append((headers, body))

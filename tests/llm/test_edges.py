@@ -129,6 +129,13 @@ def test_one_id_with_different_texts(spark):
     assert sorted(r.doc_id for r in kept if r.doc_id is not None) in ([1, 2], [1]) and sum(r.doc_id is None for r in kept) == 1
 
 
+def test_dropping_without_broadcasts_gives_the_same(spark, messy, monkeypatch):
+    twice = messy.union(messy.withColumn("text", F.lit("other words of one id")))
+    one = sorted(map(repr, simhash.drop_near_duplicates(twice).collect()))
+    monkeypatch.setattr(simhash, "BROADCAST_IDS", -1)
+    assert sorted(map(repr, simhash.drop_near_duplicates(twice).collect())) == one
+
+
 def test_reading_back_nothing(spark, messy):
     empty = messy.limit(0)
     assert chunked_bpe.decode_ids(chunked_bpe.encode_chunked(empty)).count() == 0

@@ -17,6 +17,8 @@ from tidemark.llm._tiles import Side, compare_all, near_in_tiles
 
 BITS, WORDS = 256, 4
 HASHES = [f"h{k}" for k in range(WORDS)]
+#: Ids that may be broadcast: some 32 bytes each, so about 32 MB at most.
+BROADCAST_IDS = 1_000_000
 _SPREAD = np.array([int.from_bytes(bytes(b >> k & 1 for k in range(8)), "little") for b in range(256)], U64)
 _STEP = U64(0x9E3779B97F4A7C15)
 
@@ -144,15 +146,22 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> Data
     first by hash of the whole row stays. An empty table gives an empty one; all columns stay as they are.
     """
     gone = near_duplicates(docs, id_col=id_col, **how).where(~F.col("keep")).select(F.col("doc_id").alias(id_col))
-    left = docs.join(gone, id_col, "left_anti").select(docs.columns)
+    gone = materialise(gone, "near-duplicates")
+    few = gone.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(gone) if few else gone, id_col, "left_anti").select(docs.columns)
+    many = materialise(docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col), "repeated-ids")
+    repeated = many.count()
+    if not repeated:
+        return left
+    # only rows with repeated ids are brought together
+    many = F.broadcast(many) if repeated <= BROADCAST_IDS else many
     spare = "hash"
     while spare in docs.columns:
         spare += "_"
-    hashed = left.withColumn(spare, F.xxhash64(*docs.columns))
-    # null ids aren't ranked, so they don't meet in one task
+    alike = left.join(many, id_col, "left_semi").withColumn(spare, F.xxhash64(*docs.columns))
     first = Window.partitionBy(id_col).orderBy(spare)
-    named = hashed.where(F.col(id_col).isNotNull()).withColumn(spare, F.row_number().over(first)).where(F.col(spare) == 1)
-    return named.select(docs.columns).union(hashed.where(F.col(id_col).isNull()).select(docs.columns))
+    one = alike.withColumn(spare, F.row_number().over(first)).where(F.col(spare) == 1)
+    return left.join(many, id_col, "left_anti").select(docs.columns).union(one.select(docs.columns))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from functools import lru_cache
 
 import xxhash
 
@@ -35,12 +36,18 @@ class Node:
         self.key = self.style = 0
 
 
+@lru_cache(maxsize=1 << 14)
+def _label(tag: str, attributes: str) -> str:
+    attrs = sorted(f"{a.lower()}={b or c or d}" for a, b, c, d in _ATTR.findall(attributes)) if attributes else ()
+    return re.sub(r"[0-9]+", "0", " ".join((tag, *attrs)))
+
+
 def parse(page: str) -> Node:
     root = Node("#root", "#root")
     stack, at, n = [root], 0, len(page)
 
     def words(raw: str) -> None:
-        text = " ".join(entities.unescape(raw).split())
+        text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
         if text:
             stack[-1].children.append(Node("#text", "#text", text))
 
@@ -68,8 +75,7 @@ def parse(page: str) -> Node:
                     break
                 if stack[k].tag in WALL:
                     break
-        attrs = sorted(f"{a.lower()}={b or c or d}" for a, b, c, d in _ATTR.findall(found[3])) if found[3] else ()
-        node = Node(tag, re.sub(r"[0-9]+", "0", " ".join((tag, *attrs))))
+        node = Node(tag, _label(tag, found[3]))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
@@ -79,8 +85,8 @@ def parse(page: str) -> Node:
     return root
 
 
-def _hash(*parts: object) -> int:
-    return xxhash.xxh3_64_intdigest("\x00".join(map(str, parts))) - (1 << 63)
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(text, seed & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
 
 
 def identify(root: Node) -> list[tuple[Node, int, int]]:
@@ -94,10 +100,12 @@ def identify(root: Node) -> list[tuple[Node, int, int]]:
     for node, depth, above in queue:
         out.append((node, depth, above))
         if node.children:
-            node.style = _hash(node.key, *(c.label for c in node.children))
-            for k, child in enumerate(node.children):
-                child.key = _hash(node.style, k)
-                queue.append((child, depth + 1, node.style))
+            style = node.style = _hash("\x00".join([c.label for c in node.children]), node.key)
+            spread = style * 0x9E3779B97F4A7C15
+            for k, child in enumerate(node.children, 1):
+                mixed = (spread + k * 0xD1B54A32D192ED03) & 0xFFFFFFFFFFFFFFFF
+                child.key = ((mixed ^ (mixed >> 29)) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF) - (1 << 63)
+                queue.append((child, depth + 1, style))
     return out
 
 

@@ -81,7 +81,7 @@ _search("search_strict", host=Match("example.org"), path=Match("/en"), mode="str
 
 
 # a host beats a domain and an exact path a path; of a request's parameters the last holds
-_bound("search_arguments", search_args(host="m.therou.example.com", domain="example.org", path="/de", exact_path=None))
+_bound("search_arguments", search_args(host="m.therou.example.com", domain="example.org", path="/", exact_path=None))
 _bound("search_request", http_search_args([("host", "nobody.example"), ("domain", "example.org"), ("path_exact", "/none"), ("path", "/en"), ("limit", "3")]))
 
 #: The index stored as snapshots, sorted by key; patterns are those of the keys by hand, not of ``key_pattern``.

@@ -217,6 +217,41 @@ def test_tiles_pass_over_sizes_that_are_too_far():
     assert {frozenset(x) for x in got} == {frozenset(x) for x in wanted} and 2 * len(got) == len(wanted)
 
 
+def test_near_parts_find_what_all_pairs_do(monkeypatch):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    prints = rng.integers(0, 1 << 63, (300, 4), dtype=np.uint64) << np.uint64(1)
+    near = np.repeat(prints[:60], 10, axis=0)
+    for row in near:  # up to 70 bits away, so on both sides of the radius; copies of a word too
+        for bit in rng.choice(256, rng.integers(1, 71), replace=False):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    prints = np.unique(np.concatenate((prints, near)), axis=0)
+    table = pd.DataFrame(prints.view(np.int64), columns=simhash.HASHES)
+    table = table.assign(id=rng.permutation(len(prints)), copies=1, size=np.bitwise_count(prints).sum(1))
+    apart = np.bitwise_count(prints[:, None] ^ prints[None]).sum(2)
+    want = {frozenset((table.id[i], table.id[j])) for i, j in zip(*np.nonzero(np.triu(apart <= 56, 1)))}
+    assert len(want) > 500
+    whole, low, high = (_tiles.Side(t, simhash.HASHES, []) for t in (table, table[table.id < 400], table[table.id >= 400]))
+    for pays in (True, False):
+        monkeypatch.setattr(simhash, "parts_pay", lambda *_, pays=pays: pays)
+        found = [frozenset((one.ids[x], two.ids[y])) for one, two, same in ((low, whole, True), (high, whole, True)) for p, q in simhash.near_pairs(one, two, 56, same) for x, y in zip(p, q)]
+        assert len(found) == len(set(found)) and set(found) == want
+        found = [frozenset((low.ids[x], high.ids[y])) for p, q in simhash.near_pairs(low, high, 56, False) for x, y in zip(p, q)]
+        assert len(found) == len(set(found)) and set(found) == {pair for pair in want if min(pair) < 400 <= max(pair)}
+
+
+def test_large_tables_are_compared_by_parts():
+    import pandas as pd
+
+    prints = np.random.default_rng(6).integers(0, 1 << 63, (250_000, 4), dtype=np.uint64)
+    table = pd.DataFrame(prints.view(np.int64), columns=simhash.HASHES).assign(id=np.arange(len(prints)), copies=1, size=128)
+    whole, some = (_tiles.Side(t, simhash.HASHES, []) for t in (table, table[:100_000]))
+    assert _tiles.parts_pay(some, whole, 56, True) and not _tiles.parts_pay(_tiles.Side(table[:500], simhash.HASHES, []), whole, 56, True)
+    alike = _tiles.Side(table[:20_000].assign(**{h: 7 for h in simhash.HASHES}), simhash.HASHES, [])
+    assert not _tiles.parts_pay(alike, alike, 56, True)  # where no part tells rows apart, tiles are less work
+
+
 def test_fingerprint_bits():
     text = "one two three two one"
     doc, hashed = simhash.features([text])

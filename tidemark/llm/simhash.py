@@ -13,10 +13,12 @@ from tidemark.checkpoint import materialise
 from tidemark.llm._frames import map_frames
 from tidemark.llm._graph import components, forest
 from tidemark.llm._text import U64, batches, mix, split_words
-from tidemark.llm._tiles import Side, compare_all, near_in_tiles
+from tidemark.llm._tiles import Side, compare_all, near_by_parts, near_in_tiles, parts_pay
 
 BITS, WORDS = 256, 4
 HASHES = [f"h{k}" for k in range(WORDS)]
+#: Rows of a task that compares: the more, the more of them share a value of a part.
+MOST_ROWS = 1 << 17
 #: Ids that may be broadcast: some 32 bytes each, so about 32 MB at most.
 BROADCAST_IDS = 1_000_000
 _SPREAD = np.array([int.from_bytes(bytes(b >> k & 1 for k in range(8)), "little") for b in range(256)], U64)
@@ -72,13 +74,21 @@ def _forest_of(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray,
     return nodes[child], nodes[root[child]]
 
 
+def near_pairs(rows: Side, chunk: Side, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs that differ in at most ``radius`` bits, each once, by parts of words or in tiles, whichever is cheaper."""
+    if parts_pay(rows, chunk, radius, same):
+        yield from near_by_parts(rows, chunk, radius, same)
+        return
+    # three words, 192 bits, are compared for all; the fourth for what is left
+    for p, q in near_in_tiles(rows, chunk, radius, same, (0, 1, 2), radius):
+        ok = np.bitwise_count(rows.words[p] ^ chunk.words[q]).sum(1) <= radius
+        yield p[ok], q[ok]
+
+
 def _compare(radius: int):
     def compare(rows: Side, chunk: Side, same: bool) -> pd.DataFrame:
         links, others, pairs, held = np.zeros(len(rows.ids), np.int64), np.zeros(len(chunk.ids), np.int64), [], 0
-        # three words, 192 bits, are compared for all; the fourth for what is left
-        for p, q in near_in_tiles(rows, chunk, radius, same, (0, 1, 2), radius):
-            ok = np.bitwise_count(rows.words[p] ^ chunk.words[q]).sum(1) <= radius
-            p, q = p[ok], q[ok]
+        for p, q in near_pairs(rows, chunk, radius, same):
             np.add.at(links, p, chunk.copies[q])
             np.add.at(others, q, rows.copies[p])
             pairs.append((p, len(rows.ids) + q))
@@ -125,7 +135,7 @@ def near_duplicates(docs: DataFrame, radius: int = 56, id_col: str = "doc_id", t
     size = sum((F.bit_count(h) for h in HASHES[1:]), F.bit_count(HASHES[0])).cast("int")
     same = prints.where("some").groupBy(*HASHES).agg(F.min("id").alias("id"), F.count("*").alias("copies"))
     same = materialise(same.select("id", "copies", size.alias("size"), *HASHES), "distinct-fingerprints")
-    found = materialise(compare_all(same, HASHES, [], radius, _compare(radius), f"a {kind}, b {kind}, links bigint", "near-fingerprints"), "near-fingerprints")
+    found = materialise(compare_all(same, HASHES, [], radius, _compare(radius), f"a {kind}, b {kind}, links bigint", "near-fingerprints", MOST_ROWS), "near-fingerprints")
     root = components(found.where("b IS NOT NULL").select("a", "b"))
     links = found.where("links > 0").groupBy("a").agg(F.sum("links").alias("links"))
     known = same.join(links.withColumnRenamed("a", "id"), "id", "left").join(root.withColumnRenamed("node", "id"), "id", "left")

@@ -612,6 +612,22 @@ def test_a_passage_whose_parts_stand_in_many_documents(spark):
     assert [(r.doc_id, r.ref_doc_id) for r in out] == [(901, 900)] and out[0].n_words >= 70
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_a_fuzzy_passage_whose_seeds_are_all_in_many_documents(spark, monkeypatch, hot):
+    """Every seed is in more than MANY documents, in none of whose first two the passage stands, and no 40 words are the same: only stretches lead to the other document."""
+    if hot:
+        monkeypatch.setattr(chaining, "SAMPLE", 1)
+        monkeypatch.setattr(chaining, "LEAST_HOT", 5)
+        monkeypatch.setattr(chaining, "HOT_SHARE", 0.0)
+    parts = [_sentences(16, 60 + j) for j in range(5)]
+    docs = {100 * j + k: _sentences(20, 5000 + 100 * j + k) + parts[j] + _sentences(20, 6000 + 100 * j + k) for j in range(5) for k in range(20)}
+    for k in (900, 901, 902):  # three words between the parts differ
+        docs[k] = _sentences(20, 7000 + k) + sum([p + _sentences(3, 100 * k + j) for j, p in enumerate(parts)], []) + _sentences(20, 8000 + k)
+    rows = spark.createDataFrame([(k, " ".join(v)) for k, v in docs.items()], "doc_id long, text string")
+    out = {r.doc_id: r for r in chaining.repeated_passages(rows).collect()}
+    assert set(out) == {901, 902} and all(r.ref_doc_id in (900, 901) and r.n_words >= 85 and r.n_matched >= 80 for r in out.values())
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_pairs_of_seeds_by_brute_force(spark, docs, texts, monkeypatch, hot):
     """Seeds of few documents meet all lesser ones, others the first and those in which the following words are the same; hot ones too, by another way."""

@@ -104,6 +104,15 @@ def test_query_passages_by_brute_force(spark, docs, texts):
     assert wanted <= found
 
 
+def test_ids_leave_in_small_batches(spark, monkeypatch):
+    """However small the batches that a task handles, ids are those of the whole texts."""
+    monkeypatch.setattr(chunked_bpe, "BATCH", 500)
+    shared = " ".join(_sentences(600, 71))
+    rows = [(k, f"{shared} {k}" if k % 2 else " ".join(_sentences(50, 9000 + k))) for k in range(24)] + [(24, None), (25, "")]
+    out = {r.doc_id: r.ids for r in chunked_bpe.encode_chunked(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert out == {k: None if t is None else _bpe.encode(t).tolist() for k, t in rows}
+
+
 def test_feistel_is_a_permutation():
     for n in (1, 2, 7, 100, 365):
         f = pseudonyms.Feistel(b"k", "t", n)

@@ -20,6 +20,8 @@ from tidemark.llm._text import U64, batches, mix
 #: Bytes that the rolling hash looks back on; one place in 2**CUT_BITS is a cut; no chunk is longer than MOST.
 WINDOW, CUT_BITS, MOST = 32, 9, 1 << 14
 _GEAR = (mix(np.arange(1, 257, dtype=U64)) >> U64(32)).astype(np.uint32)
+#: Characters of text, or ids, that a task handles at a time.
+BATCH = 1 << 18
 #: Hashes of shared chunks that may be sent to every worker: 8 bytes each, so 32 MB at most.
 BROADCAST_HASHES = 4_000_000
 
@@ -122,7 +124,7 @@ def _wide(raw: bytes) -> np.ndarray:
 
 
 def _chunk_hashes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in batches(frames, "text", 1 << 19):
+    for frame in batches(frames, "text", BATCH):
         yield pd.DataFrame({"hash": cut_chunks(frame.text.tolist()).hashes.view(np.int64)})
 
 
@@ -159,7 +161,7 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
         return table[np.minimum(np.searchsorted(table, value), len(table) - 1)] == value
 
     def alone(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, "text", 1 << 19):
+        for frame in batches(frames, "text", BATCH):
             texts = frame.text.tolist()
             cut = cut_chunks(texts)
             common = np.concatenate(([0], np.cumsum(shared_of(cut.hashes))))[cut.first]
@@ -174,7 +176,7 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
             yield made.assign(doc_id=frame.id.array.take(made["at"].to_numpy(np.int64)))
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches(frames, "text", 1 << 19):
+        for frame in batches(frames, "text", BATCH):
             cut = cut_chunks(frame.text.tolist())
             common = shared_of(cut.hashes)
             out = []
@@ -194,7 +196,7 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
 
     def shared_bodies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Each shared chunk once for each batch."""
-        for frame in batches(frames, "text", 1 << 20):
+        for frame in batches(frames, "text", BATCH):
             cut = cut_chunks(frame.text.tolist())
             owner = np.repeat(np.arange(len(frame)), np.diff(cut.first))
             on = np.flatnonzero(shared_of(cut.hashes))
@@ -203,9 +205,8 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
             yield pd.DataFrame({"hash": cut.hashes[on].view(np.int64), "more": cut.more[on].view(np.int64), "body": body})
 
     def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["body"] = [_narrow(encode(bytes(b).decode("utf-8"), vocabulary)) for b in frame.body]
-            yield frame
+        for frame in batches(frames, "body", BATCH):
+            yield frame.assign(body=[_narrow(encode(bytes(b).decode("utf-8"), vocabulary)) for b in frame.body])
 
     def together(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows of equal texts follow each other; only the first of them is put together."""
@@ -220,11 +221,12 @@ def encode_chunked(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, id_col
                     last, ids = key, join_parts([_wide(data[ends[j] : ends[j + 1]]) for j in range(rows[r], rows[r + 1])], vocabulary)
                 out.append(ids)
                 held += len(ids)
-                if held > 1 << 20 or r + 1 == len(keys):
+                if held > BATCH or r + 1 == len(keys):
                     sizes = np.fromiter(map(len, out), np.int32, len(out))
                     lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32), np.concatenate(out).astype(np.int32))
                     yield pa.RecordBatch.from_arrays([frame.column("id").slice(begin, len(out)), pa.array(sizes), lists], ["doc_id", "n_tokens", "ids"])
                     out, begin, held = [], r + 1, 0
+            pa.default_memory_pool().release_unused()  # what Arrow keeps of past batches counts as the executor's
 
     shape = f"doc_id {kind}, n_tokens int, ids array<int>"
     keyed = work.where(F.length("text") > 0).select("id", F.xxhash64("text").alias("k1"), F.hash("text", F.length("text")).alias("k2"), "text")

@@ -709,6 +709,44 @@ def test_passages_say_what_they_match(spark, docs, texts):
         assert r.n_matched <= longest and r.n_matched >= 0.9 * longest, SequenceMatcher(None, a, b).ratio()
 
 
+def test_chains_of_groups_are_those_of_each():
+    rnd = np.random.default_rng(8)
+    group, p, q = np.sort(rnd.integers(0, 9, 400)), rnd.integers(0, 300, 400), rnd.integers(0, 300, 400)
+    owner, first, rows = chaining.chain_groups(group, p, q)
+    for g in range(9):
+        mine = [rows[x:y, :3].tolist() for o, x, y in zip(owner, first[:-1], first[1:]) if o == g]
+        assert mine == [c.tolist() for c in chaining.chains(p[group == g], q[group == g])]
+
+
+def test_few_chains_are_aligned_and_no_passage_is_lost(spark, monkeypatch):
+    """Of all chains the best of each document are aligned, and those that may stand out of them: what aligning all of them finds lies within, or stands out by less than EDGE words."""
+    stored, store = {}, chaining.materialise
+
+    def kept(df, tag):
+        return stored.setdefault(tag, store(df, tag))
+
+    def all_first(min_words):
+        return lambda frames: (f.drop(columns="words").assign(first=True) for f in frames)
+
+    shared, stock = _sentences(80, 91), _sentences(18, 92)
+    texts = {k: " ".join(_sentences(20, 300 + k) + [w if j != 5 * k + 10 else f"x{k}" for j, w in enumerate(shared)] + _sentences(20, 400 + k)) for k in range(12)}
+    texts |= {20 + k: " ".join(_sentences(40, 500 + k) + stock + (shared[30:75] if k == 7 else _sentences(40, 600 + k))) for k in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    monkeypatch.setattr(chaining, "materialise", kept)
+    found = defaultdict(list)
+    for r in chaining.repeated_passages(docs).collect():
+        found[r.doc_id].append(r)
+    chains = stored["chains"]
+    assert 2 * (chains.where("first").count() + stored["other-chains"].count()) < chains.count()
+    monkeypatch.setattr(chaining, "materialise", store)
+    monkeypatch.setattr(chaining, "_first_frames", all_first)
+    words = lambda t: len(re.findall(r"[A-Za-z0-9\x80-\U0010ffff]+", t))
+    assert set(found) == {*range(1, 12), 27}
+    for r in chaining.repeated_passages(docs).collect():
+        t = texts[r.doc_id]
+        assert any(words(t[r.start_char : f.start_char]) < chaining.EDGE and words(t[f.end_char : r.end_char]) < chaining.EDGE for f in found[r.doc_id])
+
+
 def _common(a, b):
     """Length of the longest common subsequence."""
     row = [0] * (len(b) + 1)

@@ -114,3 +114,14 @@ def test_files_are_listed_by_other_file_systems_too(tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "_remote", lambda path: (fs.LocalFileSystem(), path.removeprefix("hdfs://h")) if path.startswith("hdfs://") else None)
     assert list_files(f"hdfs://h{tmp_path}") == [f"hdfs://h{tmp_path}/b.warc", f"hdfs://h{tmp_path}/d/a.warc"]
     assert warc.opened(f"hdfs://h{tmp_path}/b.warc").read() == b"x"
+
+
+def test_dates_beyond_2262_are_fetched_and_no_file_is_one_task_s(spark, tmp_path):
+    archive = Archive.init(spark, f"file://{tmp_path}/a")
+    archive.create_collection("c", warcinfo=False)
+    late = F.transform_values("headers", lambda k, v: F.when(k == "WARC-Date", F.array(F.lit("2400-01-01T00:00:00Z"))).otherwise(v))
+    archive.push("c", _records(spark, range(40)).withColumn("headers", late))
+    assert _bodies(archive) == {f"urn:{k}": b"body %d " % k * 40 for k in range(40)}
+    assert {r.date.year for r in archive.records().collect()} == {2400}
+    fetched = archive.fetch(archive.records())
+    assert fetched.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and len(os.listdir(archive.folder(archive.collection("c").uuid))) == 3

@@ -6,13 +6,12 @@ import os
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.checkpoint import materialise
+from tidemark.checkpoint import materialise, tasks
 from tidemark.operators.layout import assign_files, running, warc_filename
 from tidemark.operators.render import serialise
 from tidemark.schema import SPLIT_THRESHOLD
@@ -40,37 +39,38 @@ def written_to(spark, folder: str, name: str) -> int:
 
 
 def write_files(rows: DataFrame, folder: str) -> DataFrame:
-    """Writes rows (filename, offset, raw), each file by one task from front to back at its offsets; returns filename and size.
+    """Writes rows (filename, offset, raw) at their offsets, spread by ranges of file and offset, so no file is one task's; returns filename and where each task's last row in it ends.
 
     The same bytes go to the same places whenever a task is tried again, or twice at
     once, so that does no harm; what a file holds before its first row's offset stays.
     """
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.makedirs(folder, exist_ok=True)
         out = name = None
-        done = []
+        done = {}
 
         def close() -> None:
             if out:
-                done.append((name, out.tell()))
+                done[name] = out.tell()
                 out.flush()
                 os.fsync(out.fileno())
                 out.close()
 
-        for frame in frames:
-            for n, at, data in zip(frame.filename, frame.offset, frame.raw):
+        for b in arrived:
+            for n, at, data in zip(b.column("filename").to_pylist(), b.column("offset").to_pylist(), b.column("raw")):
                 if n != name:
                     close()
                     name = n
                     out = os.fdopen(os.open(os.path.join(folder, name), os.O_RDWR | os.O_CREAT, 0o644), "r+b")
-                    out.seek(int(at))
-                out.write(data)
+                if out.tell() != at:
+                    out.seek(at)
+                out.write(data.as_buffer())
         close()
-        yield pd.DataFrame(done, columns=["filename", "size"])
+        yield pa.RecordBatch.from_pydict({"filename": pa.array(list(done), pa.string()), "size": pa.array(list(done.values()), pa.int64())})
 
-    ordered = rows.select("filename", "offset", "raw").repartition("filename").sortWithinPartitions("filename", "offset")
-    return ordered.mapInPandas(write, "filename string, size bigint")
+    ordered = rows.select("filename", "offset", "raw").repartitionByRange(tasks(rows.sparkSession), "filename", "offset").sortWithinPartitions("filename", "offset")
+    return ordered.mapInArrow(write, "filename string, size bigint")
 
 
 def write_lines(rows: DataFrame, path: str) -> None:

@@ -10,6 +10,8 @@ ACTIVE = 1
 SPLIT_THRESHOLD = 4_294_967_295
 #: Bytes of framed records that are written at once.
 PUSH_BATCH = 50_000_000
+#: Bytes of records, about, that a task reads before it hands them on.
+READ_BATCH = 16_000_000
 #: Rows that a search returns unless it is told otherwise.
 SEARCH_LIMIT = 100
 DICTIONARY_SAMPLES, DICTIONARY_BYTES = 100_000, 5_000_000

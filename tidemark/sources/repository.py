@@ -8,14 +8,18 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tidemark.checkpoint import tasks
 from tidemark.operators.mutations import validate_manifests
-from tidemark.schema import MANIFEST, PUSH_BATCH
+from tidemark.schema import MANIFEST, PUSH_BATCH, READ_BATCH
 from tidemark.sources.warc import list_files, opened, read_record
 
 FOLDERS = ("data/buffer", "data/dict/zstd", "data/repository")
+_WHOLE = (".gz", ".zst", ".xz")
 
 
 def init_layout(path: str, config: dict | None = None) -> None:
@@ -76,49 +80,70 @@ def dictionary_of(dictionaries: dict[int, bytes] | str | None, number: int) -> b
 def fetch_records(index: DataFrame, root: str, filename: str = "filename", offset: str = "offset", size: str = "raw_size", dictionaries: dict[int, bytes] | str | None = None, raw: bool = False) -> DataFrame:
     """Index rows with ``raw`` (as stored), or with ``headers`` and ``body``.
 
-    Rows are brought together by file and read in order of offset, each by one seek. A row with a dict_id is decompressed
+    Rows are spread by ranges of file and offset and read in that order, each by one seek, so no file is one task's, whatever its size;
+    of compressed files that are read from front to back each is. A task holds about READ_BATCH bytes of records, and dates
+    stay Arrow's, which go beyond the year 2262. A row with a dict_id is decompressed
     with that dictionary: of those given, which travel with the function, or out of a folder, from which each task reads those it needs.
     """
-    shape = index.schema
-    extra = "raw binary" if raw else "headers map<string,array<string>>, body binary"
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = [T.StructField(f.name, f.dataType) for f in index.schema]
+    headers_type = T.MapType(T.StringType(), T.ArrayType(T.StringType()))
+    shape = T.StructType(kept + ([T.StructField("raw", T.BinaryType())] if raw else [T.StructField("headers", headers_type), T.StructField("body", T.BinaryType())]))
+    names = shape.names
+
+    def read(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
         ready: dict = {}
         stream, name, place, whole = None, None, 0, False
-        for frame in frames:
-            found = []
-            for n, start, length, d in zip(frame[filename], frame[offset], frame[size], frame["dict_id"] if "dict_id" in frame else [None] * len(frame)):
-                d = None if pd.isna(d) else int(d)
+        for b in arrived:
+            found, held, first = [], 0, 0
+
+            def made() -> pa.RecordBatch:
+                if raw:
+                    more = [pa.array(found, pa.binary())]
+                else:
+                    more = [pa.array([list(h.items()) for h, _ in found], pa.map_(pa.string(), pa.list_(pa.string()))), pa.array([body for _, body in found], pa.binary())]
+                return pa.RecordBatch.from_arrays([*b.slice(first, len(found)).columns, *more], names)
+
+            values = lambda c: b.column(b.schema.get_field_index(c)).to_pylist()
+            for n, start, length, d in zip(values(filename), values(offset), values(size), values("dict_id") if "dict_id" in b.schema.names else [None] * b.num_rows):
                 if n != name:
                     if stream:
                         stream.close()
                     name, place, full = n, 0, os.path.join(root.removeprefix("file://"), n)
-                    whole = d is None and not raw and full.endswith((".gz", ".zst", ".xz"))
+                    whole = d is None and not raw and full.endswith(_WHOLE)
                     stream = opened(full) if whole else open(full, "rb")
                 if whole:  # offsets are those of the decompressed file, which is read from front to back
                     while place < start:
-                        place += len(stream.read(min(1 << 20, int(start) - place)) or b" " * (int(start) - place))
+                        place += len(stream.read(min(1 << 20, start - place)) or b" " * (start - place))
                 else:
-                    stream.seek(int(start))
-                data = stream.read(int(length))
-                place = int(start + length)
+                    stream.seek(start)
+                data = stream.read(length)
+                place = start + length
                 if raw:
-                    found.append((data,))
-                    continue
-                if d is not None:
-                    if d not in ready:
-                        ready[d] = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary_of(dictionaries, d)))
-                    data = ready[d].decompress(data)
-                headers, body, _ = read_record(io.BytesIO(data), name, int(start))
-                found.append((headers, body))
-            part = pd.DataFrame(found, columns=["raw"] if raw else ["headers", "body"])
-            yield pd.concat([frame.reset_index(drop=True), part], axis=1)
+                    found.append(data)
+                    held += len(data)
+                else:
+                    if d is not None:
+                        if d not in ready:
+                            ready[d] = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(dictionary_of(dictionaries, d)))
+                        data = ready[d].decompress(data)
+                    headers, body, _ = read_record(io.BytesIO(data), name, start)
+                    found.append((headers, body))
+                    held += len(data)
+                if held >= READ_BATCH:
+                    yield made()
+                    found, held, first = [], 0, first + len(found)
+            if found:
+                yield made()
         if stream:
             stream.close()
 
-    return index.repartition(filename).sortWithinPartitions(filename, offset).mapInPandas(read, f"{fields}, {extra}")
+    front = F.lit(False) if raw else F.col(filename).rlike(r"\.(gz|zst|xz)$")
+    if "dict_id" in index.columns:
+        front &= F.col("dict_id").isNull()
+    spread = index.repartitionByRange(tasks(index.sparkSession), F.col(filename), F.when(front, F.lit(0)).otherwise(F.col(offset)))
+    return spread.sortWithinPartitions(filename, offset).mapInArrow(read, shape)
 
 
 def read_frame_files(spark: SparkSession, path: str) -> DataFrame:

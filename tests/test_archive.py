@@ -125,3 +125,13 @@ def test_dates_beyond_2262_are_fetched_and_no_file_is_one_task_s(spark, tmp_path
     assert {r.date.year for r in archive.records().collect()} == {2400}
     fetched = archive.fetch(archive.records())
     assert fetched.select(F.spark_partition_id().alias("p")).distinct().count() > 1 and len(os.listdir(archive.folder(archive.collection("c").uuid))) == 3
+
+
+def test_files_are_read_in_batches_of_bytes(spark, tmp_path, monkeypatch):
+    from tidemark.sources import warc
+
+    data = [write_record({"WARC-Type": ["response"], "WARC-Record-ID": [f"<urn:{k}>"]}, b"x" * 100) for k in range(10)]
+    (tmp_path / "a.warc").write_bytes(b"".join(data))
+    monkeypatch.setattr(warc, "READ_BATCH", 2 * len(data[0]))
+    made = list(warc.batches_of(str(tmp_path / "a.warc")))
+    assert [b.num_rows for b in made] == [2] * 5 and sum(b.column("raw_size").to_pylist()[0] for b in made) == 5 * len(data[0])

@@ -10,10 +10,11 @@ import re
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
-from tidemark.schema import WARC
+from tidemark.schema import READ_BATCH, WARC
 
 VERSION, FOOTER = b"WARC/1.1\r\n", b"\r\n\r\n"
 SINGLE = ("WARC-Type", "WARC-Record-ID", "WARC-Date")
@@ -129,6 +130,26 @@ def records_of(path: str, on_error: str = "stop") -> Iterator[tuple]:
             at, line = at + size, None
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    path, offset, size, headers, body = zip(*rows)
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.map_(pa.string(), pa.list_(pa.string())), pa.binary())
+    columns = (path, offset, size, [list(h.items()) for h in headers], body)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], WARC.names)
+
+
+def batches_of(path: str, on_error: str = "stop") -> Iterator[pa.RecordBatch]:
+    """``records_of`` in batches of about READ_BATCH bytes, so memory doesn't grow with a file or with how many small records make a batch."""
+    rows, held = [], 0
+    for row in records_of(path, on_error):
+        rows.append(row)
+        held += row[2]
+        if held >= READ_BATCH:
+            yield _batch(rows)
+            rows, held = [], 0
+    if rows:
+        yield _batch(rows)
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -163,9 +184,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Files([p]) for p in list_files(self.path)]
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         for path in partition.paths:
-            yield from records_of(path, self.on_error)
+            yield from batches_of(path, self.on_error)
 
 
 class _Written(WriterCommitMessage):
@@ -173,22 +194,23 @@ class _Written(WriterCommitMessage):
         self.name = name
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Each task writes one file under a name of its own; on commit those are given their last names, on abort they go."""
 
     def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].removeprefix("file://")
         self.overwrite = overwrite
 
-    def write(self, rows) -> _Written:
+    def write(self, arrived: Iterator[pa.RecordBatch]) -> _Written:
         import os
         import uuid
 
         os.makedirs(self.path, exist_ok=True)
         name = os.path.join(self.path, f"_part-{uuid.uuid4().hex}.warc")
         with open(name, "wb") as out:
-            for row in rows:
-                out.write(write_record({k: list(v) for k, v in row["headers"].items()}, bytes(row["body"] or b"")))
+            for b in arrived:
+                for headers, body in zip(b.column("headers"), b.column("body")):
+                    out.write(write_record(dict(headers.as_py()), body.as_py() or b""))
         return _Written(name)
 
     def commit(self, messages) -> None:

@@ -135,3 +135,12 @@ def test_files_are_read_in_batches_of_bytes(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "READ_BATCH", 2 * len(data[0]))
     made = list(warc.batches_of(str(tmp_path / "a.warc")))
     assert [b.num_rows for b in made] == [2] * 5 and sum(b.column("raw_size").to_pylist()[0] for b in made) == 5 * len(data[0])
+
+
+def test_a_stream_leaves_contents_to_the_tasks(spark, tmp_path):
+    (tmp_path / "in dir").mkdir()
+    (tmp_path / "in dir" / "a.warc").write_bytes(write_record({"WARC-Type": ["response"], "WARC-Record-ID": ["<urn:1>"]}, b"1"))
+    query = append_batches(stream_records(spark, str(tmp_path / "in dir")), str(tmp_path / "out"), str(tmp_path / "state"), once=True)
+    query.awaitTermination()
+    assert "content#" not in query._jsq.explainInternal(True).split("Physical Plan")[-1]
+    assert [(r.identifier, bytes(r.body)) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("urn:1", b"1")]

@@ -2,41 +2,36 @@
 
 from __future__ import annotations
 
-import io
+import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.archive import Archive
 from tidemark.schema import WARC
-from tidemark.sources.warc import BadRecord, read_record, unpacked
+from tidemark.sources.warc import batches_of
 
 
 def stream_records(spark: SparkSession, path: str, files_per_batch: int = 100, watermark: str | None = "1 hour") -> DataFrame:
-    """Records of WARC files, compressed or not, as they arrive, each identifier once within the watermark. A bad record ends its file."""
+    """Records of WARC files, compressed or not, as they arrive, each identifier once within the watermark. A bad record ends its file.
+
+    Spark lists the files; their contents are read in the tasks as streams, so a file may be larger than memory.
+    """
     files = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch).schema("path string, modificationTime timestamp, length long, content binary").load(path)
 
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for name, seen, data in zip(frame.path, frame.modificationTime, frame.content):
-                stream, at = unpacked(io.BytesIO(data), name), 0
-                while True:
-                    try:
-                        found = read_record(stream, name, at)
-                    except BadRecord:
-                        break
-                    if found is None:
-                        break
-                    headers, body, size = found
-                    rows.append((name, at, size, headers, body, headers["WARC-Record-ID"][0].strip("<>"), seen))
-                    at += size
-            yield pd.DataFrame(rows, columns=[*WARC.fieldNames(), "identifier", "seen"])
+    def parse(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrived:
+            kind = b.schema.field("modificationTime").type
+            for name, seen in zip(b.column("path").to_pylist(), b.column("modificationTime")):
+                for made in batches_of(re.sub("^file:/+", "/", name)):
+                    ids = [dict(h.as_py())["WARC-Record-ID"][0].strip("<>") for h in made.column("headers")]
+                    more = [pa.array([name] * made.num_rows, pa.string()), *made.columns[1:], pa.array(ids, pa.string()), pa.array([seen] * made.num_rows, kind)]
+                    yield pa.RecordBatch.from_arrays(more, [*made.schema.names, "identifier", "seen"])
 
     shape = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in WARC) + ", identifier string, seen timestamp"
-    parsed = files.select("path", "modificationTime", "content").mapInPandas(parse, shape)
+    parsed = files.select("path", "modificationTime").mapInArrow(parse, shape)
     if watermark is None:
         return parsed
     return parsed.withWatermark("seen", watermark).dropDuplicatesWithinWatermark(["identifier"])

@@ -144,3 +144,17 @@ def test_a_stream_leaves_contents_to_the_tasks(spark, tmp_path):
     query.awaitTermination()
     assert "content#" not in query._jsq.explainInternal(True).split("Physical Plan")[-1]
     assert [(r.identifier, bytes(r.body)) for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [("urn:1", b"1")]
+
+
+def test_samples_stay_where_they_are(spark):
+    from tidemark.operators.dictionary import sample_records, train_dictionary
+
+    rows = spark.range(400).select("id", F.lit(1).alias("flags"), F.repeat(F.concat(F.lit("text "), F.col("id")), 20).alias("body"))
+    wanted = [r.id for r in rows.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(50).collect()]
+    chosen = sample_records(rows, n=50)
+    assert sorted(r.id for r in chosen.collect()) == sorted(wanted)
+    plan = chosen._jdf.queryExecution().optimizedPlan().toString()
+    assert "body" not in plan[plan.index("GlobalLimit") :].split("Range")[0]
+    with pytest.raises(ValueError, match="nothing"):
+        train_dictionary(rows.where("id < 0"))
+    assert train_dictionary(chosen.repartition(7))[1] == train_dictionary(chosen.repartition(3))[1]

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,11 +16,16 @@ from tidemark.schema import ACTIVE, DICTIONARY_BYTES, DICTIONARY_SAMPLES, SPLIT_
 
 
 def sample_records(records: DataFrame, collection: str | None = None, n: int = DICTIONARY_SAMPLES) -> DataFrame:
-    """The first ``n`` active records by a hash of their ids: the same every time, spread over the collection."""
+    """The first ``n`` active records by a hash of their ids: the same every time, spread over the collection. Rows that share the last one's id all come.
+
+    Only hashes and ids are brought together, to find the last of them; the records stay where they are.
+    """
     live = records.where(is_active(F.col("flags")))
     if collection is not None:
         live = live.where(F.col("collection") == collection)
-    return live.orderBy(F.md5(F.col("id").cast("string").cast("binary")), "id").limit(n)
+    place = F.struct(F.md5(F.col("id").cast("string").cast("binary")).alias("h"), F.col("id").alias("i"))
+    last = live.select(place.alias("_p")).orderBy("_p").limit(n).agg(F.max("_p").alias("_last"))
+    return live.join(F.broadcast(last), place <= F.col("_last")).drop("_last")
 
 
 def dictionary_id(data: bytes) -> int:
@@ -26,14 +33,21 @@ def dictionary_id(data: bytes) -> int:
 
 
 def train_dictionary(samples: DataFrame, taken: set[int] = frozenset(), size: int = DICTIONARY_BYTES, body: str = "body", seed: int | None = None) -> tuple[int, bytes]:
-    """A zstd dictionary and its id from a sample table, which is brought to the driver; an id that is taken gives way to a drawn one."""
-    import zstandard
+    """A zstd dictionary and its id from a sample table, which is brought to one task; only the dictionary comes to the driver. An id that is taken gives way to a drawn one."""
+
+    def train(arrived: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        texts = sorted(v for b in arrived for v in b.column(0).to_pylist())
+        if texts:
+            fits = max(256, min(size, sum(map(len, texts)) // 8))
+            yield pa.RecordBatch.from_pydict({"data": pa.array([zstandard.train_dictionary(fits, texts).as_bytes()], pa.binary())})
 
-    texts = [bytes(r[0]) for r in samples.select(F.col(body).cast("binary")).toLocalIterator() if r[0] is not None]
-    if not texts:
+    texts = samples.select(F.col(body).cast("binary").alias("body")).where("body IS NOT NULL")
+    found = texts.repartition(1).mapInArrow(train, "data binary").collect()
+    if not found:
         raise ValueError("there is nothing to train a dictionary on")
-    fits = max(256, min(size, sum(map(len, texts)) // 8))
-    data = zstandard.train_dictionary(fits, texts).as_bytes()
+    data = bytes(found[0]["data"])
     number, draw = dictionary_id(data), random.Random(seed)
     while number in taken:
         number = draw.randrange(2**31 - 32768) + 32768

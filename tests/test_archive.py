@@ -158,3 +158,16 @@ def test_samples_stay_where_they_are(spark):
     with pytest.raises(ValueError, match="nothing"):
         train_dictionary(rows.where("id < 0"))
     assert train_dictionary(chosen.repartition(7))[1] == train_dictionary(chosen.repartition(3))[1]
+
+
+def test_files_are_compressed_by_tasks(spark, tmp_path):
+    from tidemark.plans.storage import _compress_files
+    from tidemark.sources.warc import opened
+
+    for name in ("a.warc", "b.warc"):
+        (tmp_path / name).write_bytes(name.encode() * 99)
+    _compress_files(spark, str(tmp_path))
+    assert len(os.listdir(tmp_path)) == 8
+    for name in os.listdir(tmp_path):
+        with opened(str(tmp_path / name)) as data:
+            assert data.read() == name[:6].encode() * 99

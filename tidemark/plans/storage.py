@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import lzma
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -274,20 +275,32 @@ def header_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {CAPTURES} SELECT ending, identifier, md5(body) AS digest FROM captures, (VALUES ('gz'), ('zst'), ('xz'), ('warc')) t(ending)")
 def warc_compressed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same records out of plain files and of files compressed in three ways."""
-    import zstandard
-
     rows, path = captures(spark, sf_dir), _path(spark, "packed-warc")
     write_warc(_warc(rows).select(F.lit("").alias("path"), F.lit(0).cast("bigint").alias("offset"), "raw_size", "headers", F.col("body").cast("binary").alias("body")), path)
-    plain = path.removeprefix("file://")
-    for name in sorted(os.listdir(plain)):
-        with open(f"{plain}/{name}", "rb") as data:
-            whole = data.read()
-        for ending, pack in (("gz", gzip.compress), ("zst", zstandard.compress), ("xz", lzma.compress)):
-            with open(f"{plain}/{name}.{ending}", "wb") as out:
-                out.write(pack(whole))
+    _compress_files(spark, path.removeprefix("file://"))
     return read_warc(spark, path).select(F.element_at(F.split("path", r"\."), -1).alias("ending"), bare_id(F.col("headers")["WARC-Record-ID"][0]).alias("identifier"), F.md5("body").alias("digest"))
 
 
+def _compress_files(spark: SparkSession, folder: str) -> None:
+    """Each file of a folder compressed beside itself in three ways, each of them by a task of its own, as a stream."""
+
+    def pack(arrived):
+        import pyarrow as pa
+        import zstandard
+
+        kinds = {"gz": gzip.open, "zst": zstandard.open, "xz": lzma.open}
+        for b in arrived:
+            for name, ending in zip(b.column("name").to_pylist(), b.column("ending").to_pylist()):
+                with open(name, "rb") as data, kinds[ending](f"{name}.{ending}", "wb") as out:
+                    shutil.copyfileobj(data, out, 1 << 20)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    jobs = [(k, f"{folder}/{name}", ending) for k, (ending, name) in enumerate((e, n) for e in ("xz", "gz", "zst") for n in sorted(os.listdir(folder)))]
+    if jobs:
+        spread = spark.createDataFrame(jobs, "k int, name string, ending string").repartitionByRange(len(jobs), "k")
+        spread.mapInArrow(pack, "n bigint").write.format("noop").mode("overwrite").save()
+
+
 _SHAPES = [(t, f.name, f.dataType.simpleString(), f.nullable) for t, shape in (("records", RECORDS), ("tokens", TOKENS), ("collections", MANIFEST)) for f in shape]
 _EXPECTED = """records id bigint 0, records flags int 0, records date timestamp_ntz 0, records identifier string 0, records collection string 0, records filename string 0, records offset bigint 0, records type string 0,
 records uri string 1, records dict_type string 1, records dict_id bigint 1, records massaged_url string 0, records raw_size bigint 0, tokens token string 0, tokens comment string 1, tokens read_perms_kind smallint 0,
